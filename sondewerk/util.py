@@ -100,19 +100,20 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> list:
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = 20_000, how: str = "inner") -> DataFrame:
     """Equi-join whose hot left keys are cut into blocks of about min_rows rows.
 
-    The right rows of a hot key are repeated once per block; all other keys join as usual. The
+    The right rows of a hot key are repeated once per block; all other keys join as usual. Neither
+    side is ever broadcast: the size of what Python operators give out is not known to the planner. The
     list of hot keys is bounded by HOT_KEYS, a key past that place holds under a thousandth of the rows.
     """
     hot = hot_keys(left, keys, min_rows)
     if not hot:
-        return left.join(right, list(keys), how)
+        return left.join(right.hint("merge"), list(keys), how)
     spark = left.sparkSession
     schema = left.select(*keys).schema.add("__blocks", "int")
     blocks = F.broadcast(spark.createDataFrame([(*[r[k] for k in keys], -(-r["count"] // min_rows)) for r in hot], schema))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.coalesce("__blocks", F.lit(1))).cast("int")
     a = left.join(blocks, list(keys), "left").withColumn("__block", spread).drop("__blocks")
     b = right.join(blocks, list(keys), "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))).drop("__blocks")
-    return a.join(b, [*keys, "__block"], how).drop("__block")
+    return a.join(b.hint("merge"), [*keys, "__block"], how).drop("__block")
 
 
 def _middle(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
