@@ -14,8 +14,8 @@ from sondewerk.util import lookup_join, materialize, release, skew_join
 SPLITS, SHARES = ("train", "validation", "test"), (0.8, 0.1, 0.1)
 #: A unit with more than 1/HEAVY of all windows is placed first; the others are annealed in shards of about SHARD units.
 HEAVY, SHARD = 2_000, 4_000
-#: Annealing chains per shard, steps of a chain, weight of a label's deviation against that of the size.
-CHAINS, STEPS, LABEL_WEIGHT = 4, 20_000, 0.5
+#: Annealing chains per shard, steps of a chain per unit and at least, weight of a label's deviation against that of the size.
+CHAINS, STEPS, LEAST_STEPS, LABEL_WEIGHT = 4, 25, 20_000, 0.5
 #: Spellings that name no machine, once lower-cased and stripped.
 NO_MACHINE = ("", "unknown", "na")
 
@@ -74,12 +74,13 @@ def units(recordings: DataFrame, windows: DataFrame) -> DataFrame:
     return components(unit_edges(recordings, windows)).select(F.col("node").alias("g"), F.col("unit").alias("unit_g"))
 
 
-def anneal(sizes: np.ndarray, start: np.ndarray, targets: np.ndarray, seed: int, steps: int = STEPS, label_weight: float = LABEL_WEIGHT) -> tuple[np.ndarray, float]:
+def anneal(sizes: np.ndarray, start: np.ndarray, targets: np.ndarray, seed: int, steps: int | None = None, label_weight: float = LABEL_WEIGHT) -> tuple[np.ndarray, float]:
     """Move or swap whole units until the deviation from targets is least; the best assignment seen and its cost.
 
     sizes: units x (windows, windows per label); targets: splits x the same. start: the hashed assignment.
     """
     n, s = len(sizes), len(targets)
+    steps = steps or max(LEAST_STEPS, STEPS * n)
     rng = np.random.default_rng(seed)
     weight = np.full(sizes.shape[1], label_weight)
     weight[0] = 1.0
@@ -93,7 +94,7 @@ def anneal(sizes: np.ndarray, start: np.ndarray, targets: np.ndarray, seed: int,
     if n == 0:
         return best, best_cost
     pick, other, to, luck, swap = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, s, steps), rng.random(steps), rng.random(steps) < 0.5
-    hot = max(cost / 20, 1e-4)
+    hot = float((sizes * scale).sum(axis=1).mean())
     for i in range(steps):
         u, v = pick[i], other[i]
         a = at[u]
@@ -115,7 +116,7 @@ def anneal(sizes: np.ndarray, start: np.ndarray, targets: np.ndarray, seed: int,
     return best, best_cost
 
 
-def _chain(targets: dict[int, list[list[float]]], labels: Sequence[str], steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _chain(targets: dict[int, list[list[float]]], labels: Sequence[str], steps: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("unit")
         shard, chain = int(part["shard"].iloc[0]), int(part["chain"].iloc[0])
@@ -127,7 +128,7 @@ def _chain(targets: dict[int, list[list[float]]], labels: Sequence[str], steps:
     return run
 
 
-def split_units(weights: DataFrame, labels: Sequence[str], shares: Sequence[float] = SHARES, seed: int = 1, chains: int = CHAINS, steps: int = STEPS) -> DataFrame:
+def split_units(weights: DataFrame, labels: Sequence[str], shares: Sequence[float] = SHARES, seed: int = 1, chains: int = CHAINS, steps: int | None = None) -> DataFrame:
     """(unit, split_no) for weights (unit, n, one column per label).
 
     Units above 1/HEAVY of all windows (at most HEAVY of them) are annealed first against the whole

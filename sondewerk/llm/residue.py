@@ -24,7 +24,7 @@ FIELDS = {
     "double angle": rf"<<\s*{_NAME}\s*>>",
     "asp tag": r"<%=?\s*\w[^%\n]{0,80}%>",
     "double square": r"\[\[\s*[^\W\d][\w. ]*\]\]",
-    "dunder": r"(?<![\w.])__[A-Z][A-Z0-9_]*?__(?![\w(.])",
+    "dunder": r"(?<![\w.])__[A-Z][A-Z0-9_]*?__(?!\w|\(|\.\w)",
     "dollar name": r"(?<![\w$])\$[a-z]\w*\$(?![\w$])",
     "merge field": r"«\s*\w[\w. ]*»|\*\|\s*\w[\w. ]*\|\*",
     "request in brackets": r"(?i)[\[<(]\s*(?:todo|tbd|fixme|insert|enter|fill in|your|add|replace|choose|bitte|hier|name de[rs]|eintragen|einfügen|einsetzen|ihre?n?\b|platzhalter|placeholder)[^\[\]<>()\n]{0,60}[\])>]",
