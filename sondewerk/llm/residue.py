@@ -57,6 +57,13 @@ FURNITURE = r"(?:[\w .#/-]{1,20}(?: \| [\w .#/-]{1,20}){1,8}|(?:#{1,6} .{0,60}|[
 #: A page is the message when no more than so many characters of other text stand beside it.
 REST = 160
 
+#: What must stand in a text for a field, a filler phrase or a filler run to be possible: cheap tests before the patterns.
+_MAY_FIELD = re.compile(r"\{\{|\{%|[$#]\{|\{\d{0,2}\}|%%|%[A-Z]|@@|<<|<%|\[\[|__|\$[a-z]|«|\*\||[\[<(]\s*[^\W\d]{3}|XX|\?\?\?|TBD|TODO|FIXME|N\.N")
+_MAY_FILL = ("lorem", "blindtext", "platzhalter", "beispieltext", "keinen inhalt", "placeholder", "dummy", "sample", "filler", "will be re", "headline", "heading", "title", "titel", "überschrift", "your text", "your content", "ihr text", "ihre text", "ihr content", "ihre content", "replace this", "to add ", "to edit ", "ersetzen sie", "text here", "quick brown", "xxx")
+_WORDS = re.compile(r"[a-z]+")
+_LATIN_WORDS = frozenset(LATIN.split())
+_KEYBOARD = frozenset(("asd", "qwe", "yxc", "zxc", "jkl", "tes", "foo", "bar", "bla", "xyz", "abc"))
+
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _SPAN = re.compile(r"`[^`\n]+`")
 _TAGS = re.compile(r"<(?!<)/?(?:!doctype|html|body|head|title|h\d|p|br|hr|div|span|center|a|b|i|pre|code|meta|link|style|script)\b[^<>]*>", re.I)
@@ -87,10 +94,14 @@ def kind_of(text: str | None) -> str | None:
     if not text or not text.strip():
         return None
     bare = _SPAN.sub(" ", _FENCE.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n")))
-    for m in _FIELD.finditer(bare):
+    for m in _FIELD.finditer(bare) if _MAY_FIELD.search(bare) else ():
         if not TALK.search(_sentence(bare, m.start(), m.end())) and not _QUOTED.search(bare[max(0, m.start() - 2) : m.start()]):
             return "field"
-    for rx in (_LATIN, _FILL):
+    low = bare.lower()
+    said = _WORDS.findall(low)
+    latin = sum([w in _LATIN_WORDS for w in said]) >= RUN
+    fill = any(k in low for k in _MAY_FILL) or low.count("text") >= 4 or sum([w[:3] in _KEYBOARD for w in said]) >= 4
+    for rx in [r for r, may in ((_LATIN, latin), (_FILL, fill)) if may]:
         for m in rx.finditer(bare):
             said = _sentence(bare, m.start() + 1, m.end())
             if not _QUOTED.search(bare[max(0, m.start() - 1) : m.start() + 1].strip()) and not TALK.search(said.replace(m.group(), " ")):
