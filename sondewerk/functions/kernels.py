@@ -12,6 +12,22 @@ import numpy as np
 EPS = 1e-12
 
 
+_last: dict[str, np.ndarray] = {}
+
+
+def _once(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """f with its result kept as long as the very same array is asked about: pools of one chain share it."""
+    def g(x: np.ndarray) -> np.ndarray:
+        if _last.get("x") is not x:
+            _last.clear()
+            _last["x"] = x
+        if f.__name__ not in _last:
+            _last[f.__name__] = f(x)
+        return _last[f.__name__]
+
+    return g
+
+
 # ---------------------------------------------------------------- grammar
 def _rolling(x: np.ndarray, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, width, axis=1)
@@ -58,6 +74,7 @@ def hent(x: np.ndarray) -> np.ndarray:
     return _row_entropy(np.nan_to_num(cell).astype(int), 16)
 
 
+@_once
 def _changes(x: np.ndarray) -> np.ndarray:
     s = np.sign(x - np.median(x, axis=1, keepdims=True))
     return s[:, 1:] != s[:, :-1]
@@ -71,12 +88,20 @@ def acf1(x: np.ndarray) -> np.ndarray:
 
 def _gaps(flags: np.ndarray, ends: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and standard deviation of the gaps between the flags of each row (0 with fewer than least)."""
-    n = flags.sum(axis=1)
-    mean, sd = np.zeros(len(flags)), np.zeros(len(flags))
-    for i in np.flatnonzero(n >= least):
-        at = np.flatnonzero(flags[i])
-        g = np.diff(np.concatenate([[0], at + 1, [flags.shape[1] + 1]]) if ends else at)
-        mean[i], sd[i] = g.mean(), g.std()
+    n = len(flags)
+    row, at = np.nonzero(flags)
+    if ends:
+        edge = np.arange(n)
+        row, at = np.concatenate([edge, row, edge]), np.concatenate([np.full(n, -1), at, np.full(n, flags.shape[1])])
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+    here = row[1:] == row[:-1]
+    gap, of = (at[1:] - at[:-1])[here].astype(float), row[1:][here]
+    count = np.maximum(np.bincount(of, minlength=n), 1)
+    mean = np.bincount(of, gap, n) / count
+    sd = np.sqrt(np.bincount(of, (gap - mean[of]) ** 2, n) / count)
+    few = flags.sum(axis=1) < least
+    mean[few] = sd[few] = 0
     return mean, sd
 
 
@@ -94,6 +119,7 @@ def _gap_cv(flags: np.ndarray) -> np.ndarray:
     return sd / (mean + EPS)
 
 
+@_once
 def power(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.rfft(x, axis=1)) ** 2
 

@@ -180,7 +180,7 @@ def mean_pooled(x: Column, k: int) -> Column:
 def to_int16(x: Column, scale: float = 2047.0) -> Column:
     """Centred, scaled to the ADC range by the largest distance, clipped and cut to whole numbers."""
     def scaled(z: Column) -> Column:
-        return series.let(F.greatest(F.array_max(series.absolute(z)), F.lit(1e-12)), lambda top: F.transform(z, lambda v: F.least(F.greatest(v / top * scale, F.lit(-2048.0)), F.lit(2047.0)).cast("smallint")))
+        return series.let(F.greatest(F.array_max(series.absolute(z)), F.lit(1e-12)), lambda top: F.transform(z, lambda v: F.least(F.greatest(v * scale / top, F.lit(-2048.0)), F.lit(2047.0)).cast("smallint")))
 
     return series.let(series.centred(x), scaled)
 

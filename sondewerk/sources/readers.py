@@ -27,7 +27,7 @@ def wav(content: bytes, channel: int = 0) -> tuple[int, np.ndarray]:
     at, fmt, data = 12, None, None
     while at + 8 <= len(content):
         name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 24 <= len(content):
             fmt = struct.unpack_from("<HHIIHH", content, at + 8)
         elif name == b"data":
             data = content[at + 8 : at + 8 + size]
@@ -185,7 +185,7 @@ def frames_of(bank: DataFrame, length: int = 512) -> DataFrame:
 
     cut = framed(bank.filter("error is null").select("path", "label", "rate", to_int16(F.col("x")).alias("x")), ["path", "label", "rate"], "x", length)
     text = F.array_join(F.transform("x", lambda s: F.concat(F.substring(F.lpad(F.hex(F.pmod(s.cast("int"), F.lit(65536)).cast("bigint")), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(F.pmod(s.cast("int"), F.lit(65536)).cast("bigint")), 4, "0"), 1, 2))), "")
-    return cut.select("label", F.lit(0).alias("sensor_class"), F.coalesce("rate", F.lit(1)).cast("bigint").alias("sr_hz"), (F.col("k") * length * 1_000_000 / F.coalesce("rate", F.lit(1))).cast("bigint").alias("ts_us"), F.unhex(text).alias("samples"))
+    return cut.select("label", F.lit(0).alias("sensor_class"), F.coalesce("rate", F.lit(1)).cast("bigint").alias("sr_hz"), (F.col("k").cast("bigint") * (length * 1_000_000) / F.coalesce("rate", F.lit(1))).cast("bigint").alias("ts_us"), F.unhex(text).alias("samples"))
 
 
 def parse_mqtt_rows(rows: DataFrame, payload: str = "value") -> tuple[DataFrame, DataFrame]:
