@@ -80,7 +80,7 @@ def bootstrap_mean(df: DataFrame, unit: str, value: str, draws: int = 1000, seed
         weight = F.when(u >= upto, k + 1).otherwise(weight) if k else F.when(u >= upto, 1).otherwise(0)
         p /= k + 1
     many = df.select(*keys, unit, F.col(value).alias("__v")).filter("__v is not null").withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", weight)
-    means = many.groupBy(*keys, "__b").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("__m"))
+    means = many.groupBy(*keys, "__b").agg(F.try_divide(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("__m"))
     ends = means.groupBy(*keys).agg(F.percentile("__m", F.lit(0.025)).alias("lo"), F.percentile("__m", F.lit(0.975)).alias("hi"))
     point = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean"))
     return point.join(ends, list(keys)) if keys else point.crossJoin(F.broadcast(ends))
@@ -200,6 +200,17 @@ def permutation_floor(labels: Sequence, draws: int) -> dict[str, float]:
     return {"groups": sum(counts), "distinct_assignments": distinct, "label_symmetries": same, "sampling_floor": 1 / (draws + 1), "expected_floor": (1 + draws * min(same / distinct, 1.0)) / (draws + 1), "permutations": draws}
 
 
+def transfer_rate(domains: DataFrame, name: str, direction: str) -> DataFrame:
+    """pairs, hits, rate: over ordered pairs of domains with a decided direction, how often both have the same.
+
+    Counted from the number of domains per direction, without forming the pairs.
+    """
+    c = domains.filter(F.col(direction).isNotNull()).select(name, direction).distinct().groupBy(direction).count()
+    t = c.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("count") * (F.col("count") - 1)), F.lit(0)).alias("hits"))
+    pairs = F.col("n") * (F.col("n") - 1)
+    return t.select(pairs.alias("pairs"), "hits", F.try_divide(F.col("hits"), pairs).alias("rate"))
+
+
 def predicted_auc(r: float) -> float:
     return 2 / math.pi * math.atan(r)
 

@@ -12,12 +12,12 @@ _STATE = "last bigint, n bigint, mean double, m2 double"
 _TRACKED = "node_id bigint, seq bigint, ts_us bigint, lost bigint, late boolean, energy double, energy_z double"
 
 
-def track(frames: DataFrame, timeout_ms: int = 86_400_000) -> DataFrame:
+def track(frames: DataFrame, timeout_ms: int | None = 86_400_000) -> DataFrame:
     """(node_id, seq, ts_us, lost, late, energy, energy_z) of a stream of frames with an ``energy`` column.
 
     Per node: frames lost since the last one (modulo 2^32; a step back is late, not lost) and the z of
     the energy against all so far, itself included. The state is four numbers a node and is dropped
-    after ``timeout_ms`` without frames. Within a micro-batch frames go by seq time (ts_us).
+    after ``timeout_ms`` without frames (None: never; a query that is to end by itself needs None). Within a micro-batch frames go by seq time (ts_us).
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -43,11 +43,12 @@ def track(frames: DataFrame, timeout_ms: int = 86_400_000) -> DataFrame:
                 z = (e - mean) / sd
             out.append((key[0], int(seq), int(ts), 0 if late else gap, late, e, z))
         state.update((last, n, mean, m2))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["node_id", "seq", "ts_us", "lost", "late", "energy", "energy_z"])
 
     live = frames.filter("node_id is not null and seq is not null and ts_us is not null").select("node_id", "seq", "ts_us", F.col("energy").cast("double").alias("energy"))
-    return live.groupBy("node_id").applyInPandasWithState(step, _TRACKED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return live.groupBy("node_id").applyInPandasWithState(step, _TRACKED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout)
 
 
 def first_deliveries(frames: DataFrame, arrival: str = "received_at", within: str = "2 days") -> DataFrame:

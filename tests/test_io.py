@@ -62,7 +62,7 @@ def test_bank_of_files_to_frames_and_back(spark, tmp_path):
     out = str(tmp_path / "frames")
     readers.frames_of(bank).write.mode("append").parquet(out)
     back = readers.read_frames(spark, out)
-    assert back.count() == 31 + 3 + 2 and back.agg(F.max(F.array_max("payload"))).first()[0] == 2047
+    assert back.count() == 31 + 3 + 2 and back.agg(F.max(F.array_max(F.transform("payload", F.abs)))).first()[0] == 2047
     assert back.agg(F.count_distinct("seq")).first()[0] == 36 and back.filter("label = 'normal'").count() == 33
     x, y, g = np.zeros((4, 8)), np.zeros(4), np.zeros(4)
     f = io.BytesIO()
@@ -97,7 +97,7 @@ def test_stream_tracks_loss_and_energy_like_the_batch(spark, tmp_path):
         part = [r for r in data if (r[2] >= 3000) == bool(i)]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = pipeline.fan_out(pipeline.track(src), [sinks.parquet(str(tmp_path / "out")), sinks.lines(str(tmp_path / "ilp")), sinks.points("file://" + str(tmp_path / "pts"))], str(tmp_path / "cp"), once=True)
+    q = pipeline.fan_out(pipeline.track(src, None), [sinks.parquet(str(tmp_path / "out")), sinks.lines(str(tmp_path / "ilp")), sinks.points("file://" + str(tmp_path / "pts"))], str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     got = {(r.node_id, r.ts_us): (r.lost, r.late, r.energy_z) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert [got[1, i * 1000][:2] for i in range(5)] == [(0, False), (0, False), (2, False), (0, False), (0, True)]

@@ -286,3 +286,30 @@ def test_registry_profile_and_routing(spark, tmp_path):
     q.save(tmp_path / "q.json")
     q = registry.Qualifications.load(tmp_path / "q.json")
     assert q.status(p) == "confirmed" and q.status(registry.Profile("s", "d2", "u", {})) == "qualification_required"
+
+
+def test_reports_of_points(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from sondewerk.operators import inference
+    from sondewerk.plans import serve
+
+    pts = spark.createDataFrame([(i, i % 3, float(i % 7) if i else None, [float(i), float(i * i % 11)]) for i in range(20)], "emb_id bigint, node_id bigint, score double, vector array<double>").cache()
+    server = serve.serve(pts, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda p: json.loads(urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/{p}").read())
+    assert get("health") == {"status": "ok", "points": 20}
+    assert [r["emb_id"] for r in get("anomalies?limit=2")] == [6, 13] and "vector" not in get("anomalies")[0]
+    assert len(get("node/1")) == 7 and len(get("map")) == 20
+    for bad, code in (("nothing", 404), ("node/x", 400)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            get(bad)
+        assert e.value.code == code
+    server.shutdown()
+    serve.write_html(vectors.project_2d(pts, "emb_id", "vector"), tmp_path / "m.html", "emb_id")
+    assert "canvas" in (tmp_path / "m.html").read_text()
+    assert sorted(r.emb_id for r in serve.flag_top(pts, "score", "emb_id", 0.15).filter("flagged").collect()) == [5, 6, 13]
+    d = spark.createDataFrame([("a", 1), ("b", 1), ("c", -1), ("d", None)], "n string, s int")
+    assert tuple(inference.transfer_rate(d, "n", "s").first()) == (6, 2, 1 / 3)
