@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondewerk.operators.inference import fuse_rankings
+from sondewerk.util import materialize, numbered
 
 #: A series handed to a kernel as one array has at most so many points; longer ones are refused, not cut.
 MAX_POINTS = 2_000_000
@@ -57,11 +58,9 @@ def mutual_information(df: DataFrame, channels: Sequence[str], bins: int = 12) -
 def transfer_entropy(df: DataFrame, time: str, channels: Sequence[str], bins: int = 8) -> DataFrame:
     """cause, effect, score: plug-in transfer entropy with history one, in nats, never below 0.
 
-    Future and past are binned by their own ranges, as the past lacks the last point. The time order
-    is one window over the whole recording.
+    Future and past are binned by their own ranges, as the past lacks the last point.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(time)
-    steps = df.select(*channels, *[F.lead(c).over(w).alias(f"next_{c}") for c in channels]).filter(F.col(f"next_{channels[0]}").isNotNull())
+    steps = _shifted(df, time, channels, {f"next_{c}": (c, -1) for c in channels})
     b = binned(steps, [*channels, *[f"next_{c}" for c in channels]], bins)
     pairs = F.array(*[F.struct(F.lit(s).alias("cause"), F.lit(t).alias("effect"), F.col(f"b_next_{t}").alias("i"), F.col(f"b_{t}").alias("j"), F.col(f"b_{s}").alias("k")) for s, t in permutations(channels, 2)])
     joint = b.select(F.explode(pairs).alias("s")).select("s.*").groupBy("cause", "effect", "i", "j", "k").count()
@@ -82,10 +81,18 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return g
 
 
+def _shifted(df: DataFrame, time: str, channels: Sequence[str], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """channels and, per name, (channel, places back): only rows that have all of them. Rows meet by their place, in equi-joins."""
+    placed = materialize(numbered(df.select(time, *channels), [], [time], "__i").select("__i", *channels))
+    out = placed
+    for k in sorted({k for _, k in columns.values()}):
+        moved = placed.select((F.col("__i") + k).alias("__i"), *[F.col(c).alias(n) for n, (c, d) in columns.items() if d == k])
+        out = out.join(moved, "__i")
+    return out.drop("__i")
+
+
 def _lagged(df: DataFrame, time: str, channels: Sequence[str], lag: int) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(time)
-    out = df.select(*channels, *[F.lag(c, k).over(w).alias(f"{c}__{k}") for c in channels for k in range(1, lag + 1)])
-    return out.filter(F.col(f"{channels[0]}__{lag}").isNotNull())
+    return _shifted(df, time, channels, {f"{c}__{k}": (c, k) for c in channels for k in range(1, lag + 1)})
 
 
 def granger(df: DataFrame, time: str, channels: Sequence[str], lag: int = 2) -> list[tuple[str, str, float]]:

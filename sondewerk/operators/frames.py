@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from sondewerk.functions import kernels, series
-from sondewerk.util import floor_div, lookup_join
+from sondewerk.util import floor_div, lookup_join, numbered, prefix_sums
 
 # Fixed values of the wire format: little-endian header, magic words, version.
 HEADER = "<HBBIIQIHH"
@@ -144,6 +144,15 @@ def seq_gaps(frames: DataFrame, arrival: str = "received_at", row_id: str = "del
     return prev.select(row_id, "node_id", "seq", F.when(late, 0).otherwise(F.coalesce(step, F.lit(0))).cast("bigint").alias("lost"), late.alias("late"))
 
 
+def running_z(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "z") -> DataFrame:
+    """df with the z of value against all values of its key so far, itself included (population deviation; 1 while there is none)."""
+    v = F.col(value).cast("double")
+    s = prefix_sums(df, keys, order, {"__n": F.lit(1).cast("bigint"), "__m": v, "__q": v * v})
+    m, q = F.col("__m") / F.col("__n"), F.col("__q") / F.col("__n")
+    sd = F.when((F.col("__n") > 1) & (q - m * m > 1e-6 * q), F.sqrt(q - m * m)).otherwise(1.0)
+    return s.withColumn(out, (v - m) / sd).drop("__n", "__m", "__q")
+
+
 def framed(df: DataFrame, keys: Sequence[str], samples: str, length: int, hop: int | None = None) -> DataFrame:
     """keys, k, x: one row per window of ``length`` samples of an array column, every ``hop`` (default: length); the rest is dropped."""
     hop = hop or length
@@ -154,8 +163,7 @@ def framed(df: DataFrame, keys: Sequence[str], samples: str, length: int, hop: i
 
 def rows_to_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: int) -> DataFrame:
     """keys, k, x: scalar rows of a series gathered in windows of ``length`` by their place; an incomplete last window is dropped."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    placed = df.select(*keys, F.col(value).alias("__v"), (F.row_number().over(w) - 1).alias("__i")).withColumn("k", floor_div(F.col("__i"), length))
+    placed = numbered(df.select(*keys, *[c for c in order if c not in keys and c != value], F.col(value)), keys, order, "__i").withColumnRenamed(value, "__v").withColumn("k", floor_div(F.col("__i"), length))
     got = placed.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__s")).filter(F.size("__s") == length)
     return got.select(*keys, "k", F.transform("__s", lambda s: s["__v"]).alias("x"))
 

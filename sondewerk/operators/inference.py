@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondewerk.util import lookup_join, numbered, prefix_sums
+
 
 def _by(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -25,25 +27,29 @@ def auc(df: DataFrame, score: str, positive: str | Column, keys: Sequence[str] =
     pos = F.col(positive) if isinstance(positive, str) else positive
     base = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(*keys, F.col(score).alias("__s"), pos.cast("boolean").alias("__p")).filter("__p is not null")
     c = base.groupBy(*keys, "__s").agg(F.sum(F.col("__p").cast("bigint")).alias("__pos"), F.sum((~F.col("__p")).cast("bigint")).alias("__neg"))
-    below = F.sum("__neg").over(_by(keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__neg")
-    wins = c.withColumn("__w", F.col("__pos") * (below + F.col("__neg") / 2))
+    ranked = prefix_sums(c, keys, ["__s"], {"__upto": F.col("__neg")})
+    wins = ranked.withColumn("__w", F.col("__pos") * (F.col("__upto") - F.col("__neg") / 2))
     agg = wins.groupBy(*keys).agg(F.sum("__pos").alias("n_pos"), F.sum("__neg").alias("n_neg"), F.sum("__w").alias("__w"))
     return agg.withColumn(out, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("__w") / (F.col("n_pos") * F.col("n_neg")))).drop("__w")
 
 
 def percentile_rank(df: DataFrame, score: str, tie: Sequence[str], keys: Sequence[str] = (), out: str = "pct_rank") -> DataFrame:
     """df with i/(n-1) of each row by score; ties in the order of tie, not averaged."""
-    w = _by(keys)
-    return df.withColumn(out, (F.row_number().over(w.orderBy(score, *tie)) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1)))
+    n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    placed = numbered(df, keys, [score, *tie], "__i")
+    both = lookup_join(placed, n, keys) if keys else placed.crossJoin(F.broadcast(n))
+    return both.withColumn(out, F.col("__i") / F.greatest(F.col("__n") - 1, F.lit(1))).drop("__i", "__n")
 
 
 def best_cut(df: DataFrame, score: str, positive: str, sign: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """keys, cut, j: the smallest score that separates the classes best by Youden's J (scores on the side of sign hit)."""
     base = df.filter(F.abs(F.col(score)) < float("inf")).groupBy(*keys, F.col(score).alias("cut")).agg(F.sum(F.col(positive).cast("double")).alias("__p"), F.sum((~F.col(positive).cast("boolean")).cast("double")).alias("__n"))
-    w = _by(keys)
-    side = w.orderBy("cut").rowsBetween(*((0, Window.unboundedFollowing) if sign == 1 else (Window.unboundedPreceding, 0)))
-    rate = lambda c: F.coalesce(F.try_divide(F.sum(c).over(side), F.sum(c).over(w)), F.lit(0.0))
-    j = base.withColumn("j", rate("__p") - rate("__n"))
+    runs = prefix_sums(base, keys, ["cut"], {"__pu": F.col("__p"), "__nu": F.col("__n")})
+    tot = base.groupBy(*keys).agg(F.sum("__p").alias("__pt"), F.sum("__n").alias("__nt"))
+    both = lookup_join(runs, tot, keys) if keys else runs.crossJoin(F.broadcast(tot))
+    hits = lambda c: F.col(f"__{c}t") - F.col(f"__{c}u") + F.col(f"__{c}") if sign == 1 else F.col(f"__{c}u")
+    rate = lambda c: F.coalesce(F.try_divide(hits(c), F.col(f"__{c}t")), F.lit(0.0))
+    j = both.withColumn("j", rate("p") - rate("n"))
     best = j.groupBy(*keys).agg(F.max(F.struct(F.round("j", 12).alias("j"), (-F.col("cut")).alias("m"))).alias("b"))
     return best.select(*keys, (-F.col("b.m")).alias("cut"), F.col("b.j").alias("j"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondewerk.functions import grammar, kernels, series
@@ -103,10 +103,7 @@ select emb_id, round((v - m) / sd, 4) as z from s""")
 def energy_running_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z of each energy against all readings of its node so far, itself included."""
     e = table(spark, sf_dir, "frame_embeddings").filter("node_id is not null and energy_rms is not null and not isnan(energy_rms) and abs(energy_rms) < double('Infinity')")
-    o = Window.partitionBy("node_id").orderBy("emb_id").rowsBetween(Window.unboundedPreceding, 0)
-    v, n, m, q = F.col("energy_rms"), F.count("*").over(o), F.avg("energy_rms").over(o), F.avg(F.col("energy_rms") * F.col("energy_rms")).over(o)
-    sd = F.when((n > 1) & (q - m * m > 1e-6 * q), F.sqrt(q - m * m)).otherwise(1.0)
-    return e.select("emb_id", F.round((v - m) / sd, 4).alias("z"))
+    return frames.running_z(e.select("emb_id", "node_id", "energy_rms"), ["node_id"], ["emb_id"], "energy_rms").select("emb_id", F.round("z", 4).alias("z"))
 
 
 # ------------------------------------------------------------------ detector

@@ -152,3 +152,25 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
             found = counts.withColumn("__upto", F.sum("count").over(w)).filter("__want <= __upto and __want > __upto - count").withColumn("__rank", F.col("__want") - F.col("__upto") + F.col("count"))
         target, last = found.select(*keys, "__side", F.col("__cell").alias("__bin"), F.col("__rank").alias("__want")), step
     return target.groupBy(*keys).agg(F.avg("__bin").alias(out))
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """df with running sums (inclusive) of the given expressions per keys in the given order, which must be total.
+
+    No task holds a whole key: rows are range-partitioned by keys and order, summed within the
+    partitions, and the totals of the partitions before are added, one row per key and partition.
+    Null keys get null sums.
+    """
+    parts = materialize(df.withColumns({f"__v_{n}": e for n, e in sums.items()}).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    here = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*keys, "__part").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    offsets = totals.select(*keys, "__part", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    local = parts.withColumns({n: F.sum(f"__v_{n}").over(here) for n in sums})
+    both = lookup_join(local, offsets, [*keys, "__part"], "left")
+    return both.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in sums}).drop("__part", *[f"{x}_{n}" for n in sums for x in ("__v", "__o")])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """df with the place of each row (from 0) per keys in a total order; see ``prefix_sums``."""
+    return prefix_sums(df, keys, order, {out: F.lit(1).cast("bigint")}).withColumn(out, F.col(out) - 1)
