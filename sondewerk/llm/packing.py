@@ -135,8 +135,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, item: str = "doc_id", size:
 
     An item above the capacity gives full containers of its own and a rest that is packed as an item.
     Items of size 0 or null size take no room: one row with null container. Ids may repeat, each row
-    is packed. Containers are numbered from 0. The histogram of sizes (at most ``capacity`` rows) is
-    all that reaches the driver.
+    is packed. Containers are numbered from 0. The histogram of sizes by shard (at most ``capacity`` times
+    SHARDS rows, whatever the number of documents) is all that reaches the driver.
     """
     full = F.call_function("div", F.col("tokens"), F.lit(capacity))
     rest = F.col("tokens") % capacity
