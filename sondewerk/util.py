@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: A side of a join is broadcast only up to this many (narrow) rows; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
@@ -108,7 +109,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows:
     if not hot:
         return left.join(right.hint("merge"), list(keys), how)
     spark = left.sparkSession
-    schema = left.select(*keys).schema.add("__blocks", "int")
+    schema = left.select(*keys).schema.add("__blocks", IntegerType())
     blocks = F.broadcast(spark.createDataFrame([(*[r[k] for k in keys], -(-r["count"] // min_rows)) for r in hot], schema))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.coalesce("__blocks", F.lit(1))).cast("int")
     a = left.join(blocks, list(keys), "left").withColumn("__block", spread).drop("__blocks")
