@@ -70,3 +70,17 @@ def test_minwise_similarity_follows_the_correlation():
     s = overlap.minwise(x, c, o)
     a = (np.sign(((x - x.mean(1, keepdims=True)) @ c)[0]) == np.sign(((x - x.mean(1, keepdims=True)) @ c)[1])).sum()
     assert abs((s[0] == s[1]).mean() - a / (512 - a)) < 0.04
+
+
+def test_hot_buckets_are_cut_without_loss(spark, monkeypatch):
+    from functools import partial
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(64)
+    # a third of the windows lie close together, but are no copies
+    data = [(i, "b", "fit" if i % 2 else "eval", ((base if i % 3 == 0 else rng.standard_normal(64)) + 0.05 * rng.standard_normal(64)).tolist()) for i in range(240)]
+    df = table(spark, data)
+    plain = rows(overlap.overlap_pairs(df).select("window_train", "window_held"))
+    monkeypatch.setattr(overlap, "skew_join", partial(overlap.skew_join, min_rows=7))
+    assert rows(overlap.overlap_pairs(df).select("window_train", "window_held")) == plain
+    assert set(plain) == brute(data) and len(plain) == 40 * 40
