@@ -98,14 +98,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> list:
     return [r for r in top if r["count"] > min_rows]
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = 20_000, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = 20_000, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Equi-join whose hot left keys are cut into blocks of about min_rows rows.
 
     The right rows of a hot key are repeated once per block; all other keys join as usual. Neither
     side is ever broadcast: the size of what Python operators give out is not known to the planner. The
-    list of hot keys is bounded by HOT_KEYS, a key past that place holds under a thousandth of the rows.
+    list of hot keys (``hot``, if the caller has it) is bounded by HOT_KEYS, a key past that place holds under a thousandth of the rows.
     """
-    hot = hot_keys(left, keys, min_rows)
+    hot = hot_keys(left, keys, min_rows) if hot is None else hot
     if not hot:
         return left.join(right.hint("merge"), list(keys), how)
     spark = left.sparkSession
