@@ -4,7 +4,8 @@ Vectors get 128-bit codes by rotations learned on a bounded sample (iterative qu
 is cut into 8 substrings of 16 bits, each indexed. Two codes within a Hamming distance of 23 agree
 in some substring up to 2 bits (pigeonhole), so probing 137 values per substring retrieves all of
 them; their vectors are then compared as floats. Queries for which the search could have missed
-one of the k best, judged by the similarity of the k-th, are answered by an exact scan in blocks.
+one of the k best, judged by the similarity of the k-th, and queries amid a dense cluster, whose
+buckets hold much of the table, are answered by an exact scan in blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondewerk.util import materialize, skew_join
+from sondewerk.util import hot_keys, materialize, skew_join
 
 #: Length of a vector, rotations of one code, bits of a substring and bits probed in each.
 DIM, ROTATIONS, SUB_BITS, FLIPS = 32, 4, 16, 2
@@ -29,6 +30,8 @@ SAMPLE, STEPS, SEED = 8_192, 30, 7
 KEEP = 40
 #: A query is scanned exactly when a vector as near as its k-th found one may have been missed with more than this chance.
 MISS = 2e-3
+#: Rows that make a bucket hot; a query whose hot buckets hold more than this share of all vectors is cheaper to scan exactly.
+HOT_ROWS, SCAN_SHARE = 5_000, 0.05
 #: Queries per block of the exact scan.
 SCAN_BLOCK = 2_048
 
@@ -107,7 +110,7 @@ def _scan(ids: np.ndarray, queries: np.ndarray, k: int) -> Callable[[Iterator[pa
                 other = b.column(0).to_numpy(zero_copy_only=False)
                 s = queries @ unit(b.column(1)).T
                 s[ids[:, None] == other[None, :]] = -np.inf
-                floor = np.maximum(least, np.partition(s, -k, axis=1)[:, -k] if len(other) >= k else -np.inf)
+                floor = least if np.isfinite(least).all() or len(other) < k else np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
                 r, c = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
                 rows, others, sims = np.concatenate([rows, r]), np.concatenate([others, other[c]]), np.concatenate([sims, s[r, c]])
                 order = np.lexsort((others, -sims, rows))
@@ -155,7 +158,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "e
     index = materialize(base.mapInArrow(_index(rotation, None), schema))
     probes = asked.mapInArrow(_index(rotation, masks), schema).select(F.col("id").alias("query"), "tbl", "sub", F.col("c0").alias("q0"), F.col("c1").alias("q1"))
     near = (F.bit_count(F.col("c0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("q1")))) <= KEEP
-    candidates = skew_join(index, probes, ["tbl", "sub"], min_rows=50_000).filter(near & (F.col("id") != F.col("query"))).select("query", "id").distinct()
+    hot = hot_keys(index, ["tbl", "sub"], HOT_ROWS)
+    if hot:
+        table = F.broadcast(spark.createDataFrame([(r["tbl"], r["sub"], r["count"]) for r in hot], "tbl int, sub int, n bigint"))
+        heavy = probes.join(table, ["tbl", "sub"]).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") > SCAN_SHARE * base.count()).select("query")
+        probes = probes.join(materialize(heavy), "query", "left_anti")
+    candidates = skew_join(index, probes, ["tbl", "sub"], HOT_ROWS, hot=hot).filter(near & (F.col("id") != F.col("query"))).select("query", "id").distinct()
     floats = candidates.join(base, "id").join(asked.select(F.col("id").alias("query"), F.col("v").alias("q")), "query").select("query", "id", "v", "q")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     found = materialize(floats.mapInArrow(_rerank, _FOUND).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))

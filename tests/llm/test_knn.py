@@ -59,3 +59,21 @@ def test_copies_unusable_vectors_and_small_tables(spark):
     two = frame(spark, [(1, x[0].tolist()), (2, x[1].tolist())])
     assert rows(knn.nearest_pairs(two, two)) == [(1, 2)]
     assert rows(knn.nearest_pairs(two.limit(0), two)) == []
+
+
+def test_queries_amid_a_dense_cluster_are_scanned(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = clustered(900, 7)
+    x[::3] = x[0] + 0.02 * rng.standard_normal((300, 32))
+    ids = list(range(900))
+    df = frame(spark, [(i, v.tolist()) for i, v in zip(ids, x)])
+    asked = df.select("emb_id").filter("emb_id % 45 = 0 or emb_id % 100 = 1")
+    monkeypatch.setattr(knn, "HOT_ROWS", 40)
+    seen = []
+    scan = knn._scan
+    monkeypatch.setattr(knn, "_scan", lambda i, q, k: seen.extend(i.tolist()) or scan(i, q, k))
+    got = {}
+    for r in knn.nearest(df, asked).collect():
+        got.setdefault(r.query, set()).add(r.id)
+    assert set(range(0, 900, 45)) <= set(seen)
+    assert all(got[q] == brute(x.astype(float), ids, q, 5) for q in range(0, 900, 45))
