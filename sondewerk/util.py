@@ -94,8 +94,8 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> list:
     """The keys with more than min_rows rows: at most HOT_KEYS of them, the largest, with their counts."""
-    top = df.groupBy(*keys).count().orderBy(F.desc("count")).limit(HOT_KEYS).collect()
-    return [r for r in top if r["count"] > min_rows]
+    many = df.groupBy(*keys).count().filter(F.col("count") > min_rows)
+    return many.orderBy(F.desc("count")).limit(HOT_KEYS).collect()
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = 20_000, how: str = "inner", hot: list | None = None) -> DataFrame:
