@@ -24,7 +24,7 @@ from sondewerk.util import hot_keys, materialize, skew_join
 
 #: Length of a vector, rotations of one code, bits of a substring and bits probed in each.
 DIM, ROTATIONS, SUB_BITS, FLIPS = 32, 4, 16, 2
-#: Vectors the rotations are learned on at most, and steps of learning.
+#: Vectors the rotations are learned on, picked by the hash of their id (about so many at most), and steps of learning.
 SAMPLE, STEPS, SEED = 8_192, 30, 7
 #: Codes farther apart are not compared as floats.
 KEEP = 40
@@ -147,7 +147,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "e
     w = Window.partitionBy("h1", "h2").orderBy("id")
     copies = good.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k + 1).select("id")
     base = materialize(good.join(copies, "id", "left_semi").dropDuplicates(["id"]))
-    sample = base.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
+    size = base.count()
+    sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // SAMPLE)))) == 0).orderBy("id").select("v").toPandas()["v"]
     if not len(sample):
         return spark.createDataFrame([], _FOUND)
     x = np.stack(sample.to_numpy()).astype(np.float64)
@@ -161,7 +162,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "e
     hot = hot_keys(index, ["tbl", "sub"], HOT_ROWS)
     if hot:
         table = F.broadcast(spark.createDataFrame([(r["tbl"], r["sub"], r["count"]) for r in hot], "tbl int, sub int, n bigint"))
-        heavy = probes.join(table, ["tbl", "sub"]).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") > SCAN_SHARE * base.count()).select("query")
+        heavy = probes.join(table, ["tbl", "sub"]).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") > SCAN_SHARE * size).select("query")
         probes = probes.join(materialize(heavy), "query", "left_anti")
     candidates = skew_join(index, probes, ["tbl", "sub"], HOT_ROWS, hot=hot).filter(near & (F.col("id") != F.col("query"))).select("query", "id").distinct()
     floats = candidates.join(base, "id").join(asked.select(F.col("id").alias("query"), F.col("v").alias("q")), "query").select("query", "id", "v", "q")
