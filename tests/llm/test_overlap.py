@@ -84,3 +84,27 @@ def test_hot_buckets_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(overlap, "skew_join", partial(overlap.skew_join, min_rows=7))
     assert rows(overlap.overlap_pairs(df).select("window_train", "window_held")) == plain
     assert set(plain) == brute(data) and len(plain) == 40 * 40
+
+
+def test_windows_with_gaps_are_all_compared(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = []
+    for k in range(60):
+        base = rng.standard_normal(64) * 10.0 ** rng.integers(-3, 4)
+        base[k % 64] += (0, 10, 1e6)[k % 3] * base.std()
+        x, y = base.tolist(), (base * 3 + 1 + rng.standard_normal(64) * (0, 0.3)[k % 2] * np.median(np.abs(base))).tolist()
+        for at in {k % 64, *rng.integers(0, 64, (0, 3, 15)[k % 3]).tolist()}:
+            y[at] = (None, float("nan"), float("inf"))[k % 3]
+        if k % 5 == 0:
+            x[int(rng.integers(64))] = None  # a gap on both sides
+        data += [(2 * k, "b", "fit", x), (2 * k + 1, "b", "eval", y)]
+        if k % 2:
+            data[-2:] = [(2 * k, "b", "fit", y), (2 * k + 1, "b", "replication", x)]
+    data += [(1000, "b", "fit", [1.0] * 63 + [None]), (1001, "b", "eval", [None] * 63 + [2.0]), (1002, "b", "eval", [None] * 64)]
+    df = table(spark, data)
+    want = brute([(i, b, s, [None if v is None else float(np.float32(v)) for v in w]) for i, b, s, w in data])
+    assert len(want) >= 40
+    for block in (overlap.SCAN_BLOCK, 7):
+        monkeypatch.setattr(overlap, "SCAN_BLOCK", block)
+        got = [tuple(r) for r in overlap.overlap_pairs(df).select("window_train", "window_held").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
