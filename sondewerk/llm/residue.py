@@ -58,8 +58,8 @@ FURNITURE = r"(?:[\w .#/-]{1,20}(?: \| [\w .#/-]{1,20}){1,8}|(?:#{1,6} .{0,60}|[
 REST = 160
 
 #: What must stand in a text for a field, a filler phrase or a filler run to be possible: cheap tests before the patterns.
-_MAY_FIELD = re.compile(r"\{\{|\{%|[$#]\{|\{\d{0,2}\}|%%|%[A-Z]|@@|<<|<%|\[\[|__|\$[a-z]|«|\*\||[\[<(]\s*[^\W\d]{3}|XX|\?\?\?|TBD|TODO|FIXME|N\.N")
-_MAY_FILL = ("lorem", "blindtext", "platzhalter", "beispieltext", "keinen inhalt", "placeholder", "dummy", "sample", "filler", "will be re", "headline", "heading", "title", "titel", "überschrift", "your text", "your content", "ihr text", "ihre text", "ihr content", "ihre content", "replace this", "to add ", "to edit ", "ersetzen sie", "text here", "quick brown", "xxx")
+_MAY_FIELD = re.compile(r"\{\{|\{%|[$#]\{|\{\d{0,2}\}|%%|%[A-Z]|@@|<<|<%|\[\[|__|\$[a-z]|«|\*\||[\[<(]\s*[^\W\d]{2}|XX|\?\?\?|TBD|TODO|FIXME|N\.N")
+_MAY_FILL = ("lorem", "blindtext", "platzhalter", "beispieltext", "keinen inhalt", "placeholder", "dummy", "sample", "filler", "will be re", "headline", "heading", "title", "titel", "überschrift", "your text", "your content", "subtext", "subcontent", "ihr text", "ihre text", "ihr content", "ihre content", "replace this", "to add ", "to edit ", "ersetzen sie", "text here", "quick brown", "xxx")
 _WORDS = re.compile(r"[a-z]+")
 _LATIN_WORDS = frozenset(LATIN.split())
 _KEYBOARD = frozenset(("asd", "qwe", "yxc", "zxc", "jkl", "tes", "foo", "bar", "bla", "xyz", "abc"))

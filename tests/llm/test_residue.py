@@ -33,3 +33,17 @@ def test_whole_table(spark):
     assert {tuple(r) for r in rows(residue.residue(df))} == {(1, "error"), (4, "field")}
     assert sorted(r.doc_id or 0 for r in residue.without_residue(df).collect()) == [0, 2, 3, 5, 5]
     assert rows(residue.residue(df.limit(0))) == []
+
+
+def test_pretests_let_the_whole_grammar_pass():
+    dates = ["DATE", "NAME", "TITLE", "DATUM", "TITEL", "COMPANY", "FIRMA", "AUTHOR", "LOCATION", "ORT", "TT.MM.JJJJ", "DD/MM/YYYY", "DD.MM.YYYY", "YYYY-MM-DD"]
+    asked = ["todo", "tbd", "fixme", "insert", "enter", "fill in", "your", "add", "replace", "choose", "bitte", "hier", "name der", "eintragen", "einfügen", "einsetzen", "ihr", "ihren", "platzhalter", "placeholder"]
+    other = ["{{ a }}", "{% if %}", "${ a }", "#{ a }", "{0}", "{}", "%%A B%%", "%NAME%", "@@a@@", "<<a>>", "<%= a %>", "[[a]]", "__AB__", "$ab$", "« a »", "*|A|*", "TBD TBD", "TODO, TODO", "XXX XXX", "FIXME FIXME", "N.N. N.N.", "XX.XX", "????", "____"]
+    for t in [*(f"[{d}]" for d in dates), *(f"{o}{w} x{c}" for w in asked for o, c in ("[]", "<>", "()")), *other]:
+        assert residue.kind_of(f"Date: {t}") == "field", t
+    ask = [f"{a} {b}{c} {h}" for a in ("your", "ihr", "ihre") for b in ("", "sub") for c in ("headline", "heading", "title", "text", "content", "überschrift", "titel") for h in ("goes here", "here", "hier")]
+    said = [f"this is a {k} {n}" for k in ("placeholder", "dummy", "sample", "filler") for n in ("paragraph", "text", "copy", "content")] + [f"{a} will be {b} before release" for a in ("text", "copy") for b in ("removed", "replaced")]
+    keys = [" ".join([w] * 4) for w in ("asdf", "qwer", "qwertz", "yxcv", "zxcv", "jkl", "test", "foo", "bar", "bla", "xyz", "abc")]
+    rest = ["lorem ipsum dolor", "dies ist ein blindtext", "dies ist ein platzhalter", "hier steht beispieltext", "er hat keinen inhalt und füllt nur den platz", "replace this sentence with", "tap to add subtitle", "click here to edit text", "ersetzen sie diesen absatz", "text text text text", "insert text here", "the quick brown fox jumps over the lazy dog", "xxx xxx xxx"]
+    for t in [*ask, *said, *keys, *rest]:
+        assert residue.kind_of(t) == "filler", t
