@@ -54,8 +54,14 @@ NOTICES = (
 )
 #: Lines that belong to any page: menus, footers, titles, dividers.
 FURNITURE = r"(?:[\w .#/-]{1,20}(?: \| [\w .#/-]{1,20}){1,8}|(?:#{1,6} .{0,60}|[-=*_ ]+)|.{0,40}\b(?:loading|lädt|wird geladen)\W*)"
-#: A page is the message when no more than so many characters of other text stand beside it.
-REST = 160
+#: A page is the message when no more than so many characters, or this share of the page, is other text.
+REST, SHARE = 160, 0.2
+#: How a trace begins, the lines it goes on with, and the line of its exception, which ends it.
+TRACE = r"(?:traceback \(most recent call last\)|exception in thread|(?:unhandled|uncaught) exception)"
+FRAME = r"(?:file \"[^\"]*\", line \d+|at [\w.$<>/]+ ?\(|at .{1,120}:\d+(?::\d+)?\)?$|\.\.\. \d+ (?:more|common)|caused by: |[~^ ]+$|\[previous line repeated|during handling of the above exception|the above exception was the direct cause)"
+RAISED = r"(?:[a-z_]\w*\.)*[A-Z]\w*(?::\s.*)?"
+#: Lines that don't carry on the paragraph above them: items, tables, headings, times.
+APART = r"(?:[-*+•|#>=]|\d+[.)]\s|\d{1,4}[-:./]\d)"
 
 #: What must stand in a text for a field, a filler phrase or a filler run to be possible: cheap tests before the patterns.
 _MAY_FIELD = re.compile(r"\{\{|\{%|[$#]\{|\{\d{0,2}\}|%%|%[A-Z]|@@|<<|<%|\[\[|__|\$[a-z]|«|\*\||[\[<(]\s*[^\W\d]{2}|XX|\?\?\?|TBD|TODO|FIXME|N\.N")
@@ -73,6 +79,10 @@ _LATIN = re.compile(rf"\b(?:(?:{'|'.join(LATIN.split())})\b[\s,.;:]*){{{RUN},}}"
 _ERROR = re.compile(rf"\W*(?:{'|'.join(ERRORS)})", re.I)
 _NOTICE = re.compile(rf"\W*(?:{'|'.join(NOTICES)})", re.I)
 _FURNITURE = re.compile(FURNITURE, re.I)
+_TRACE = re.compile(rf"\W*{TRACE}", re.I)
+_FRAME = re.compile(FRAME, re.I)
+_RAISED = re.compile(RAISED)
+_APART = re.compile(APART)
 _QUOTED = re.compile(r"[\"“„‚‘»']\s*$")
 #: Words around a field or a filler phrase that show it is spoken of, not left open.
 TALK = re.compile(r"(?i)\b(?:stands? for|steht für|stehen für|syntax|writes?|written as|renders?|replaced|ersetzt|placeholders? (?:is|are|was|were)|template began|called|named|such as|e\.g\.|z\. ?b\.|topic|formula|regex|pattern|variable|expands?|escape|shell|script sets)\b")
@@ -89,7 +99,8 @@ def kind_of(text: str | None) -> str | None:
 
     Code blocks and code spans are passed over. A field or filler phrase counts unless its sentence
     speaks about it or quotes it. An error or notice counts when it opens a line and, beside it and
-    page furniture (title, menu, footer), hardly any other text stands.
+    page furniture (title, menu, footer), hardly any other text stands. The rest of a paragraph that
+    a message opens belongs to it, and the frames of a trace up to the line of its exception.
     """
     if not text or not text.strip():
         return None
@@ -107,19 +118,36 @@ def kind_of(text: str | None) -> str | None:
             if not _QUOTED.search(bare[max(0, m.start() - 1) : m.start() + 1].strip()) and not TALK.search(said.replace(m.group(), " ")):
                 return "filler"
     page = html.unescape(_TAGS.sub("\n", bare.replace("<noscript>", "\n<noscript ")))
-    kind, rest, title = None, 0, True
-    for line in page.split("\n"):
-        line = line.strip()
+    kind, rest, told, title = None, 0, 0, True
+    # inside: a paragraph or a trace that belongs to a message; code: the line of source below a frame
+    inside, code, opens = None, False, True
+    for raw in page.split("\n"):
+        line = raw.strip()
         if not line:
+            inside, opens = None, True
             continue
-        # one message may run over several sentences of its line
         found = "error" if _ERROR.match(line) else "notice" if _NOTICE.match(line) else None
+        frame = _FRAME.match(line)
+        if inside == "trace" and not (frame or _TRACE.match(line)):
+            indented = raw[:1] in " \t"
+            more = indented or code or bool(_RAISED.fullmatch(line))
+            code = False
+            if not indented and _RAISED.fullmatch(line):
+                inside = None
+        else:
+            more = inside == "trace" or (inside == "paragraph" and not _APART.match(line)) or bool(kind and frame and "above exception" in line.lower())
+            code = bool(frame)
         if found:
             kind = kind or found
+            inside = "trace" if _TRACE.match(line) else inside or ("paragraph" if opens else None)
+        elif not more:
+            inside = None
+        if found or more:
+            told += len(line)
         elif not (_FURNITURE.fullmatch(line) or (title and len(line) <= 60 and not line.endswith((".", "!", "?")))):
             rest += len(line)
-        title = False
-    if kind and rest <= REST:
+        title = opens = False
+    if kind and rest <= max(REST, SHARE * (rest + told)):
         return kind
     return None
 

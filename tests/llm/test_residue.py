@@ -47,3 +47,18 @@ def test_pretests_let_the_whole_grammar_pass():
     rest = ["lorem ipsum dolor", "dies ist ein blindtext", "dies ist ein platzhalter", "hier steht beispieltext", "er hat keinen inhalt und füllt nur den platz", "replace this sentence with", "tap to add subtitle", "click here to edit text", "ersetzen sie diesen absatz", "text text text text", "insert text here", "the quick brown fox jumps over the lazy dog", "xxx xxx xxx"]
     for t in [*ask, *said, *keys, *rest]:
         assert residue.kind_of(t) == "filler", t
+
+
+def test_the_whole_message_counts_as_message():
+    frames = "".join(f"  File \"/srv/app/step{i}.py\", line {i}, in run\n    value = table[step.name_of(node)]\n" for i in range(6))
+    trace = "Traceback (most recent call last):\n" + frames + "KeyError: 'node'"
+    java = "Exception in thread \"main\" java.lang.IllegalStateException: closed\n" + "".join(f"\tat com.example.poll.Step{i}.run(Step{i}.java:{i})\n" for i in range(9)) + "Caused by: java.io.IOException: broken pipe\n\t... 9 more"
+    wrapped = "503 Service Unavailable\n" + "The server is busy with the maintenance of its storage\nand cannot answer at the moment.\n" * 3
+    signed = "Please sign in to continue.\n" + "Reports of this station are kept for its members,\nwho find the key in their letter.\n" * 4
+    flat = "\n".join(x.strip() for x in trace.split("\n"))
+    for text in (trace, flat, trace + "\n\nDuring handling of the above exception, another exception occurred:\n\n" + trace, java, "# Report 7\n\n" + trace + "\n\nImprint | Contact", wrapped):
+        assert residue.kind_of(text) == "error", text
+    assert residue.kind_of(signed) == "notice"
+    # who tells of an error is left alone
+    for text in (trace + "\n" + LONG, trace + "\n\n" + LONG, LONG + "\n\n" + wrapped, "Log of the night\nError 503: no answer\n" + "12:05 the poller was started again by hand\n" * 9, "502 Bad Gateway\n" + "- the poller was started again by hand\n" * 9):
+        assert residue.kind_of(text) is None, text
