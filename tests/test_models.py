@@ -313,3 +313,25 @@ def test_reports_of_points(spark, tmp_path):
     assert sorted(r.emb_id for r in serve.flag_top(pts, "score", "emb_id", 0.15).filter("flagged").collect()) == [5, 6, 13]
     d = spark.createDataFrame([("a", 1), ("b", 1), ("c", -1), ("d", None)], "n string, s int")
     assert tuple(inference.transfer_rate(d, "n", "s").first()) == (6, 2, 1 / 3)
+
+
+def test_node_map_and_page_hold_every_point(spark, tmp_path):
+    import threading
+    import urllib.request
+
+    from sondewerk.plans import serve
+
+    n = 1_500
+    pts = spark.createDataFrame([(i, 7, 0.5, [float(i % 50), float(i // 50)]) for i in range(n)], "emb_id bigint, node_id bigint, score double, vector array<double>").cache()
+    server = serve.serve(pts, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda p: json.loads(urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/{p}").read())
+    assert [r["emb_id"] for r in get("node/7")] == list(range(n)) == [r["emb_id"] for r in get("map")]
+    assert get("node/8") == [] and len(get("anomalies?limit=5000")) == serve.MOST
+    server.shutdown()
+    mapped = pts.selectExpr("emb_id", "vector[0] as x", "vector[1] as y", "emb_id = 1499 as flagged")
+    serve.write_html(mapped.unionByName(mapped.limit(3)), tmp_path / "m.html", "emb_id")
+    cells = json.loads((tmp_path / "m.html").read_text().split("const d=")[1].split(";const g")[0])
+    assert sorted(c[0] for c in cells) == list(range(n)) and sum(c[3] for c in cells) == n + 3
+    assert [c[0] for c in cells if c[4]] == [1499] and cells[-1][:3] == [1499, 790, 590]
+    serve.write_html(mapped.limit(0), tmp_path / "e.html", "emb_id")
