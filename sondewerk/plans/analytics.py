@@ -240,6 +240,14 @@ def hash_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean_draw"), F.round(F.max("x"), 9).alias("max_draw"))
 
 
+@query()
+def hash_draws_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 draws for every row; ``hash_draws`` is the hundredth part of them that SQL repeats."""
+    e = table(spark, sf_dir, "frame_embeddings").filter("recon_error is not null and not isnan(recon_error) and abs(recon_error) < double('Infinity')").select("emb_id")
+    m = e.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("x", inference.hash_uniform(0, F.col("b"), F.col("emb_id")))
+    return m.agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean_draw"), F.round(F.max("x"), 9).alias("max_draw"))
+
+
 @query()
 def score_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval of the mean recording score per label."""

@@ -70,3 +70,17 @@ def test_small_exact_tests():
 
 def test_fan_out(spark):
     assert rows(inference.fan_out(spark, range(5), lambda t: t * t)) == [(i, float(i * i)) for i in range(5)]
+
+
+def test_hash_draws_of_every_row(spark, tmp_path):
+    from hashlib import md5
+
+    from sondewerk.plans import analytics
+
+    data = [(i, None if i % 11 == 0 else float(("nan", "inf", "0.5")[min(i % 5, 2)])) for i in range(1, 251)]
+    spark.createDataFrame(data, "emb_id bigint, recon_error double").write.parquet(f"{tmp_path}/frame_embeddings.parquet")
+    ids = [i for i, v in data if v == 0.5]
+    x = [int(md5(f"0-{b}-{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in ids for b in range(1, 101)]
+    got = analytics.hash_draws_all(spark, str(tmp_path)).first()
+    assert got["n"] == len(x) > 10_000
+    assert abs(got["mean_draw"] - sum(x) / len(x)) < 2e-9 and abs(got["max_draw"] - max(x)) < 2e-9
