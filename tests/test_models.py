@@ -335,3 +335,16 @@ def test_node_map_and_page_hold_every_point(spark, tmp_path):
     assert sorted(c[0] for c in cells) == list(range(n)) and sum(c[3] for c in cells) == n + 3
     assert [c[0] for c in cells if c[4]] == [1499] and cells[-1][:3] == [1499, 790, 590]
     serve.write_html(mapped.limit(0), tmp_path / "e.html", "emb_id")
+
+
+def test_folds_rank_every_program_without_the_held_out_recording():
+    rng = np.random.default_rng(3)
+    label = np.array(["a", "b"] * 6)
+    means = rng.standard_normal((12, 400))
+    # tells the labels apart but for one recording, so that a ranking over all recordings has it far behind
+    means[:, 7] = (label == "a") * 5 + 0.1 * rng.standard_normal(12)
+    means[4, 7] = -400
+    everywhere = list(learners.anova_order(means, label, np.arange(12)))
+    assert everywhere.index(7) >= 3 * 40
+    orders = distill.fold_orders(means, label, 40)
+    assert [o[0] == 7 for o in orders] == [r == 4 for r in range(12)] and {len(o) for o in orders} == {40}
