@@ -14,6 +14,8 @@ from sondewerk.operators import inference
 
 MAD_SCALE = 1.4826
 ENVELOPE, THRESHOLD = 3.0, 4.0
+#: Units that calibration holds at most (more are refused, not cut).
+MAX_UNITS = 200_000
 
 
 def robust_baseline(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,13 +72,16 @@ class RobustDetector:
     def inverse_threshold(self) -> float:
         return self.threshold / 9.0
 
-    def calibrate(self, scored: DataFrame, score: str, positive: str, unit: str, draws: int = 500, seed: int = 0) -> dict:
+    def calibrate(self, scored: DataFrame, score: str, positive: str, unit: str, draws: int = 2000, seed: int = 0) -> dict:
         """Direction and cut from labelled anchors, by recordings (unit): the bootstrap interval of the AUC must clear 0.5.
 
-        A unit with both labels, fewer than four units or one class only decides nothing.
+        A unit with both labels, fewer than four units or one class only decides nothing. More than
+        MAX_UNITS units are refused.
         """
         units = scored.groupBy(unit).agg(F.avg(score).alias("s"), F.min(F.col(positive).cast("int")).alias("y"), F.max(F.col(positive).cast("int")).alias("y2"))
-        rows = units.limit(200_000).toPandas()
+        rows = units.limit(MAX_UNITS + 1).toPandas()
+        if len(rows) > MAX_UNITS:
+            raise ValueError(f"more units than calibration may hold ({MAX_UNITS})")
         s, y = rows["s"].to_numpy(float), rows["y"].to_numpy(int)
         out = {"identified": False, "sign": None, "auc": None, "ci_lo": None, "ci_hi": None, "n_anchors": len(rows)}
         self.direction = self.cut = None
@@ -129,8 +134,9 @@ def auc_of(score: np.ndarray, label: np.ndarray) -> float:
 
 def youden_cut(score: np.ndarray, label: np.ndarray, sign: int) -> float:
     cuts = np.unique(score[np.isfinite(score)])
-    hit = (score[None, :] >= cuts[:, None]) if sign == 1 else (score[None, :] <= cuts[:, None])
-    return float(cuts[np.argmax(hit[:, label == 1].mean(axis=1) - hit[:, label == 0].mean(axis=1))])
+    down = np.sort(-sign * score[~np.isnan(score) & (label == 1)]), np.sort(-sign * score[~np.isnan(score) & (label == 0)])
+    hit, false = (np.searchsorted(v, -sign * cuts, "right") / (label == c).sum() for v, c in zip(down, (1, 0)))
+    return float(cuts[np.argmax(hit - false)])
 
 
 def severity(score: Column, threshold: float = THRESHOLD) -> Column:

@@ -348,3 +348,18 @@ def test_folds_rank_every_program_without_the_held_out_recording():
     assert everywhere.index(7) >= 3 * 40
     orders = distill.fold_orders(means, label, 40)
     assert [o[0] == 7 for o in orders] == [r == 4 for r in range(12)] and {len(o) for o in orders} == {40}
+
+
+def test_calibration_refuses_what_it_cannot_hold(spark, monkeypatch):
+    from sondewerk.operators import detector
+
+    units = spark.createDataFrame([(i, float(i), i >= 5) for i in range(10)], "g int, score double, odd boolean")
+    det = detector.RobustDetector(["score"], [0.0], [1.0])
+    monkeypatch.setattr(detector, "MAX_UNITS", 10)
+    assert det.calibrate(units, "score", "odd", "g")["n_anchors"] == 10 and det.cut == 5.0
+    monkeypatch.setattr(detector, "MAX_UNITS", 9)
+    with pytest.raises(ValueError):
+        det.calibrate(units, "score", "odd", "g")
+    # the cut of many units needs no table of units times cuts
+    score, label = np.arange(200_000.0), np.arange(200_000) >= 150_000
+    assert detector.youden_cut(score, label.astype(int), 1) == 150_000 and detector.youden_cut(-score, label.astype(int), -1) == -150_000
