@@ -27,6 +27,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest_pairs(_table(spark, sf_dir, "frame_embeddings"), _table(spark, sf_dir, "probe_vectors"))
 
 
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 100, against all vectors."""
+    vectors = _table(spark, sf_dir, "frame_embeddings")
+    return knn.nearest(vectors, vectors.filter("emb_id % 100 = 0"))
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same queries, how many true neighbours there are, and whether nine tenths of them are found."""
+    vectors = _table(spark, sf_dir, "frame_embeddings")
+    r = knn.recall(vectors, vectors.filter("emb_id % 100 = 0"))
+    return r.select("asked", "neighbours", (F.col("found") >= 0.9 * F.col("neighbours")).alias("enough"))
+
+
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of both columns per node from the sketches of all partitions."""
     rows = _table(spark, sf_dir, "frame_embeddings").select("node_id", F.explode(F.create_map(F.lit("recon_error"), "recon_error", F.lit("score"), "score")).alias("metric", "v"))
@@ -56,7 +69,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p6_percentiles, p7_found, p7_splits, p8_containers, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_neighbours, p5_recall, p6_percentiles, p7_found, p7_splits, p8_containers, p9_found, p10_found)}
 
 _PAIRS = """
 with w as (select window_id, split, bank, list_transform(windows, lambda x: case when isnan(x) then null else x end) as x from bank_windows where windows is not null and len(windows) = 64),
@@ -72,6 +85,9 @@ with g as (select emb_id, vector::double[32] as v from frame_embeddings where le
 s as (select q.emb_id as q, g.emb_id as o, row_number() over (partition by q.emb_id order by array_cosine_similarity(q.v, g.v) desc, g.emb_id) as rn
       from g q join probe_vectors p on p.emb_id = q.emb_id join g on g.emb_id <> q.emb_id)
 select distinct least(q, o) as emb_a, greatest(q, o) as emb_b from s where rn <= 5""",
+    "p5_recall": """
+with g as (select distinct emb_id from frame_embeddings where len(vector) = 32 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0)
+select count(*) as asked, count(*) * least(5, (select count(*) - 1 from g)) as neighbours, true as enough from g where emb_id % 100 = 0""",
     "p6_percentiles": """
 with v as (select node_id, 'recon_error' as metric, recon_error as v from frame_embeddings union all select node_id, 'score', score from frame_embeddings),
 r as (select *, row_number() over (partition by node_id, metric order by v) as rn, count(*) over (partition by node_id, metric) as n from v where node_id is not null and v is not null and not isnan(v)),

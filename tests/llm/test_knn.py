@@ -31,16 +31,29 @@ def test_recall_against_brute_force(spark):
         got.setdefault(r.query, set()).add(r.id)
     recall = np.mean([len(got[q] & brute(x.astype(float), ids, q, 5)) / 5 for q in asked])
     assert all(len(v) == 5 for v in got.values()) and recall >= 0.97
+    asked_df = spark.createDataFrame([(i,) for i in asked], "emb_id bigint")
+    r = knn.recall(df, asked_df).first()
+    assert (r.asked, r.neighbours, r.scanned) == (40, 200, 0) and abs(r.found - 200 * recall) <= 1
 
 
-def test_far_neighbours_are_found_by_the_exact_scan(spark):
+def test_probing_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(4)
+    bits, radius = 10, knn.TABLES * (knn.RADII[0] + 1) - 1
+    masks = knn.flip_masks(bits, 0, knn.RADII[0])
+    assert len(masks) == 1 + 10 + 45 and len(knn.flip_masks(bits, 3, 3)) == 120
+    code = rng.integers(0, 1 << bits, knn.TABLES)
+    for _ in range(200):
+        other = code.copy()
+        for b in rng.choice(bits * knn.TABLES, radius, replace=False):
+            other[b // bits] ^= 1 << (b % bits)
+        assert any(o in c ^ masks for o, c in zip(other, code))
+
+
+def test_far_neighbours_are_found_by_the_wider_search(spark):
     x = np.random.default_rng(2).standard_normal((700, 32)).astype(np.float32)
-    ids = list(range(700))
-    df = frame(spark, [(i, v.tolist()) for i, v in zip(ids, x)])
-    got = {}
-    for r in knn.nearest(df, df.select("emb_id").filter("emb_id % 50 = 0")).collect():
-        got.setdefault(r.query, set()).add(r.id)
-    assert all(got[q] == brute(x.astype(float), ids, q, 5) for q in ids[::50])
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    r = knn.recall(df, df.select("emb_id").filter("emb_id % 10 = 0")).first()
+    assert (r.asked, r.neighbours, r.scanned) == (70, 350, 0) and r.found >= 0.95 * 350
 
 
 def test_copies_unusable_vectors_and_small_tables(spark):
@@ -69,11 +82,12 @@ def test_queries_amid_a_dense_cluster_are_scanned(spark, monkeypatch):
     df = frame(spark, [(i, v.tolist()) for i, v in zip(ids, x)])
     asked = df.select("emb_id").filter("emb_id % 45 = 0 or emb_id % 100 = 1")
     monkeypatch.setattr(knn, "HOT_ROWS", 40)
-    seen = []
-    scan = knn._scan
-    monkeypatch.setattr(knn, "_scan", lambda i, q, k: seen.extend(i.tolist()) or scan(i, q, k))
+    monkeypatch.setattr(knn, "SCAN_QUERIES", 7)
+    monkeypatch.setattr(knn, "SCAN_VECTORS", 200)
     got = {}
+    how = {}
     for r in knn.nearest(df, asked).collect():
         got.setdefault(r.query, set()).add(r.id)
-    assert set(range(0, 900, 45)) <= set(seen)
+        how[r.query] = r.how
+    assert {how[q] for q in range(0, 900, 45)} == {"scan"} and "index" in how.values()
     assert all(got[q] == brute(x.astype(float), ids, q, 5) for q in range(0, 900, 45))
