@@ -208,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "e
     near = (F.bit_count(F.col("c0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("q1")))) <= KEEP
 
     def search(some: DataFrame, probes: DataFrame) -> DataFrame:
-        pairs = skew_join(index, probes, ["key"], HOT_ROWS, hot=hot).filter(near & (F.col("id") != F.col("query"))).select("query", "id").distinct()
+        pairs = skew_join(index, probes, ["key"], HOT_ROWS, hot=hot).filter(near & (F.col("id") != F.col("query"))).select("query", "id").repartition("id").distinct()
         floats = pairs.join(base, "id").join(some.select(F.col("id").alias("query"), F.col("v").alias("q")), "query").select("query", "id", "v", "q")
         return floats.mapInArrow(_rerank, _FOUND)
 
