@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondewerk.util import lookup_join
+
 #: Values per buffer and buffers per collapse.
 K, ARITY = 4_096, 8
 #: Tasks among which the partial sketches of one group are merged first.
 FAN = 32
+#: Values that a task which builds sketches holds before it hands them on (16 MB), whatever the number of groups.
+HELD = 2_000_000
 
 
 class Sketch:
@@ -66,6 +70,10 @@ class Sketch:
         else:
             self._put(level, values)
 
+    def size(self) -> int:
+        """Values held."""
+        return self.held + sum(len(b) for buffers in self.levels.values() for b in buffers)
+
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         if self.held:
             yield -1, np.concatenate(self.raw)
@@ -73,8 +81,13 @@ class Sketch:
             for b in buffers:
                 yield level, b
 
+    def bound(self) -> float:
+        """How many ranks a quantile may be off: the collapses, and half of the heaviest value, as the rank may fall inside it."""
+        top = max((level for level, b in self.levels.items() if b and level > 0), default=0)
+        return self.err + (float(self.arity) ** top / 2 if top else 0.0)
+
     def quantiles(self, probs: Sequence[float]) -> np.ndarray:
-        """For each p the value of rank ceil(p n), up to ``err`` ranks off."""
+        """For each p the value of rank ceil(p n), up to ``bound()`` ranks off."""
         if not self.n:
             return np.full(len(probs), np.nan)
         parts = list(self.parts())
@@ -107,7 +120,7 @@ _PART = "name string, level int, vals array<double>, n bigint, err double"
 def _build(k: int, arity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[str, Sketch] = {}
-        held = 0
+        fresh = 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -116,37 +129,45 @@ def _build(k: int, arity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             order = np.argsort(code, kind="stable")
             for name, part in zip(names, np.split(v[order], np.cumsum(np.bincount(code))[:-1])):
                 have.setdefault(name, Sketch(k, arity)).add(part)
-            held += len(v)
-            if held > 1_000_000 and len(have) > 20_000:  # many small groups: hand on what there is
-                yield _emit(have)
-                have, held = {}, 0
+            fresh += len(v)
+            if fresh >= HELD:  # what the sketches hold has grown by no more than this since it was counted
+                if sum(s.size() for s in have.values()) > HELD:
+                    yield _emit(have)
+                    have = {}
+                fresh = 0
         yield _emit(have)
 
     return run
 
 
-def _merge(k: int, arity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by name; one sketch is held at a time."""
+def _by_name(batches: Iterator[pa.RecordBatch], k: int, arity: int) -> Iterator[tuple[str, Sketch]]:
+    """The merged sketch of each name out of rows sorted by name; one is held at a time."""
+    now, s = None, Sketch(k, arity)
+    for b in batches:
+        flat, size = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        end = np.cumsum(size)
+        for name, level, a, z, n, err in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), end - size, end, b.column(3).to_pylist(), b.column(4).to_pylist()):
+            if name != now:
+                if now is not None:
+                    yield now, s
+                now, s = name, Sketch(k, arity)
+            s.n += n
+            s.err += err
+            s.merge(level, flat[a:z])
+    if now is not None:
+        yield now, s
+
 
+def _merge(k: int, arity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, s = None, Sketch(k, arity)
         done: dict[str, Sketch] = {}
-        for b in batches:
-            flat, size = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            end = np.cumsum(size)
-            for name, level, a, z, n, err in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), end - size, end, b.column(3).to_pylist(), b.column(4).to_pylist()):
-                if name != now:
-                    if now is not None:
-                        done[now] = s
-                        if len(done) >= 2_000:
-                            yield _emit(done)
-                            done = {}
-                    now, s = name, Sketch(k, arity)
-                s.n += n
-                s.err += err
-                s.merge(level, flat[a:z])
-        if now is not None:
-            done[now] = s
+        held = 0
+        for name, s in _by_name(batches, k, arity):
+            done[name] = s
+            held += s.size()
+            if held >= HELD:
+                yield _emit(done)
+                done, held = {}, 0
         yield _emit(done)
 
     return run
@@ -174,23 +195,23 @@ def sketch(df: DataFrame, name: str, value: str, k: int = K, arity: int = ARITY)
 
 def _read(k: int, arity: int, probs: Sequence[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(name: str, s: Sketch) -> None:
-            for p, v in zip(probs, s.quantiles(probs)):
-                rows.append((name, p, float(v), s.n, s.err))
+        names, values, n, err = [], [], [], []
 
-        now, s, rows = None, Sketch(k, arity), []
-        for b in batches:
-            for r in b.to_pylist():
-                if r["name"] != now:
-                    if now is not None:
-                        out(now, s)
-                    now, s = r["name"], Sketch(k, arity)
-                s.n += r["n"]
-                s.err += r["err"]
-                s.merge(r["level"], np.array(r["vals"]))
-        if now is not None:
-            out(now, s)
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()))], names=["name", "p", "value", "n", "rank_error"])
+        def out() -> pa.RecordBatch:
+            m, f = len(probs), (lambda x, t: pa.array(np.repeat(np.array(x), len(probs)), t))
+            flat = np.concatenate(values) if values else np.empty(0)
+            return pa.record_batch([f(names, pa.string()), pa.array(np.tile(np.asarray(probs, np.float64), len(flat) // m)), pa.array(flat), f(n, pa.int64()), f(err, pa.float64())], names=["name", "p", "value", "n", "rank_error"])
+
+        for name, s in _by_name(batches, k, arity):
+            names.append(name)
+            values.append(s.quantiles(probs))
+            n.append(s.n)
+            err.append(s.bound())
+            if len(names) >= 4_096:
+                yield out()
+                names, values, n, err = [], [], [], []
+        if names:
+            yield out()
 
     return run
 
@@ -199,3 +220,16 @@ def percentiles(parts: DataFrame, probs: Sequence[float], k: int = K, arity: int
     """(name, p, value, n, rank_error) of the merge of all parts of a name: value has a rank within rank_error of ceil(p n)."""
     rows = _first_merge(parts, k, arity, fan).repartition("name").sortWithinPartitions("name")
     return rows.mapInArrow(_read(k, arity, list(probs)), "name string, p double, value double, n bigint, rank_error double")
+
+
+def rank_errors(df: DataFrame, name: str, value: str, found: DataFrame) -> DataFrame:
+    """found with off: how far the ranks of each value among the rows of its name are from ceil(p n); 0 where one is it.
+
+    The exact ranks are counts of smaller and of equal values, combined map-side.
+    """
+    rows = df.filter(F.col(name).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("v"))
+    lists = found.groupBy("name").agg(F.collect_list(F.struct("p", F.col("value").alias("x"))).alias("asked"))
+    each = lookup_join(rows, lists, ["name"]).select("name", "v", F.explode("asked").alias("a"))
+    ranks = each.groupBy("name", F.col("a.p").alias("p")).agg(F.count_if(F.col("v") < F.col("a.x")).alias("below"), F.count_if(F.col("v") <= F.col("a.x")).alias("upto"))
+    want = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n") - 1e-9))
+    return found.join(ranks, ["name", "p"]).withColumn("off", F.greatest(F.col("below") + 1 - want, want - F.col("upto"), F.lit(0))).drop("below", "upto")

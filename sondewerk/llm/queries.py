@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondewerk.llm import groupsplit, knn, leakage, overlap, packing, quantiles, residue
+from sondewerk.util import materialize
 
 PERCENTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 
@@ -40,13 +41,31 @@ def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("asked", "neighbours", (F.col("found") >= 0.9 * F.col("neighbours")).alias("enough"))
 
 
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, v, day): both columns of problem 6, named by node and column."""
+    rows = _table(spark, sf_dir, "frame_embeddings").select("node_id", F.floor(F.col("ts_us") / 86_400_000_000).alias("day"), F.explode(F.create_map(F.lit("recon_error"), "recon_error", F.lit("score"), "score")).alias("metric", "v"))
+    return rows.filter("node_id is not null").select(F.concat_ws("/", F.col("node_id").cast("string"), "metric").alias("name"), "v", "day")
+
+
+def _by_node(df: DataFrame, *more: str) -> DataFrame:
+    key = F.split("name", "/")
+    return df.select(key[0].cast("bigint").alias("node_id"), key[1].alias("metric"), *more)
+
+
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of both columns per node from the sketches of all partitions."""
-    rows = _table(spark, sf_dir, "frame_embeddings").select("node_id", F.explode(F.create_map(F.lit("recon_error"), "recon_error", F.lit("score"), "score")).alias("metric", "v"))
-    named = rows.filter("node_id is not null").select(F.concat_ws("/", F.col("node_id").cast("string"), "metric").alias("name"), "v")
-    out = quantiles.percentiles(quantiles.sketch(named, "name", "v"), PERCENTS)
-    key = F.split("name", "/")
-    return out.select(key[0].cast("bigint").alias("node_id"), key[1].alias("metric"), "p", "value", "n", "rank_error")
+    out = quantiles.percentiles(quantiles.sketch(_metrics(spark, sf_dir), "name", "v"), PERCENTS)
+    return _by_node(out, "p", "value", "n", "rank_error")
+
+
+def p6_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether small sketches (buffers of 16 that collapse by 4) of odd and even days, combined, keep the bound they state."""
+    rows = _metrics(spark, sf_dir)
+    odd = F.pmod(F.coalesce("day", F.lit(0)), F.lit(2)) == 1
+    parts = [quantiles.merge_sketches(quantiles.sketch(rows.filter(c), "name", "v", 16, 4), 16, 4) for c in (odd, ~odd)]
+    out = quantiles.percentiles(parts[0].unionByName(parts[1]), PERCENTS, 16, 4)
+    checked = quantiles.rank_errors(rows, "name", "v", materialize(out))
+    return _by_node(checked, "p", "n", (F.col("off") <= F.ceil("rank_error")).alias("within"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +88,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_neighbours, p5_recall, p6_percentiles, p7_found, p7_splits, p8_containers, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_neighbours, p5_recall, p6_percentiles, p6_rank_errors, p7_found, p7_splits, p8_containers, p9_found, p10_found)}
 
 _PAIRS = """
 with w as (select window_id, split, bank, list_transform(windows, lambda x: case when isnan(x) then null else x end) as x from bank_windows where windows is not null and len(windows) = 64),
@@ -93,6 +112,11 @@ with v as (select node_id, 'recon_error' as metric, recon_error as v from frame_
 r as (select *, row_number() over (partition by node_id, metric order by v) as rn, count(*) over (partition by node_id, metric) as n from v where node_id is not null and v is not null and not isnan(v)),
 p as (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999]::double[]) as p)
 select node_id, metric, p, v as value, n, 0.0::double as rank_error from r, p where rn = greatest(1, ceil(p * n - 1e-9))""",
+    "p6_rank_errors": """
+with v as (select node_id, 'recon_error' as metric, recon_error as v from frame_embeddings union all select node_id, 'score', score from frame_embeddings),
+r as (select *, row_number() over (partition by node_id, metric order by v) as rn, count(*) over (partition by node_id, metric) as n from v where node_id is not null and v is not null and not isnan(v)),
+p as (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999]::double[]) as p)
+select node_id, metric, p, n, true as within from r, p where rn = greatest(1, ceil(p * n - 1e-9))""",
     "p7_found": """
 with recursive m as (select g, regexp_replace(lower(machine), '[^\\p{L}\\p{N}]', '', 'g') as k from recordings where machine is not null),
 w as (select distinct g, windows from bank_windows semi join recordings using (g) where len(windows) = 64 and len(list_filter(windows, lambda x: x is null or isnan(x))) = 0),
