@@ -20,16 +20,16 @@ CHAINS, STEPS, LEAST_STEPS, LABEL_WEIGHT = 4, 25, 20_000, 0.5
 NO_MACHINE = ("", "unknown", "na")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, unit): the smallest node of the connected component of every node with an edge.
 
-    Large-star and small-star in turn until nothing changes, each round written to the shared
-    folder. A star's centre may hold a third of all edges: minima are combined map-side, joins to
+    Large-star and small-star in turn until nothing changes (about the logarithm of the longest path
+    in rounds), each round written to the shared folder. A star's centre may hold a third of all edges: minima are combined map-side, joins to
     them are salted, so no task gathers a star.
     """
     e = materialize(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = lookup_join(both.filter("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -52,11 +52,12 @@ def unit_edges(recordings: DataFrame, windows: DataFrame, length: int = 64) -> D
     held = recordings.filter("g is not null").select(g.alias("g"), "machine", F.col("parent_g").cast("bigint").alias("parent_g"))
     name = F.regexp_replace(F.lower("machine"), r"[^\p{L}\p{N}]", "")
     machines = held.select("g", name.alias("key")).filter(F.col("key").isNotNull() & ~F.col("key").isin(*NO_MACHINE))
-    parents = held.filter("parent_g is not null").select(F.col("g").alias("a"), F.col("parent_g").alias("b")).join(held.select(F.col("g").alias("b")), "b", "left_semi").select("a", "b")
+    known = held.select("g").distinct()
+    parents = skew_join(held.filter("parent_g is not null").select(F.col("g").alias("a"), F.col("parent_g").alias("b")), known.withColumnRenamed("g", "b"), ["b"]).select("a", "b")
     whole = (F.size("windows") == length) & F.forall("windows", lambda x: x.isNotNull() & ~F.isnan(x))
     plain = F.transform("windows", lambda x: x + F.lit(0.0).cast("float"))
-    same = windows.filter(F.col("g").isNotNull() & F.coalesce(whole, F.lit(False))).select(g.alias("g"), F.concat_ws("/", F.xxhash64(plain).cast("string"), F.hash(plain).cast("string")).alias("key"))
-    same = same.join(held.select("g"), "g", "left_semi")
+    same = windows.filter(F.col("g").isNotNull() & F.coalesce(whole, F.lit(False))).select(g.alias("g"), F.concat_ws("/", F.xxhash64(plain).cast("string"), F.hash(plain).cast("string")).alias("key")).distinct()
+    same = skew_join(same, known, ["g"])
 
     def star(rows: DataFrame) -> DataFrame:
         rows = rows.distinct()
@@ -116,13 +117,15 @@ def anneal(sizes: np.ndarray, start: np.ndarray, targets: np.ndarray, seed: int,
     return best, best_cost
 
 
-def _chain(targets: dict[int, list[list[float]]], labels: Sequence[str], steps: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _chain(left: np.ndarray, labels: Sequence[str], steps: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One chain of one shard; the rows carry the shard's part of what is left of each count (t_n, t_label)."""
+    cols = ["n", *labels]
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("unit")
         shard, chain = int(part["shard"].iloc[0]), int(part["chain"].iloc[0])
-        sizes = part[["n", *labels]].to_numpy(dtype=np.float64)
-        t = np.array(targets[shard])
-        at, cost = anneal(sizes, part["start"].to_numpy(), t, seed=1000 * (shard + 1) + chain, steps=steps)
+        targets = left * part[[f"t_{c}" for c in cols]].iloc[0].to_numpy(dtype=np.float64)
+        at, cost = anneal(part[cols].to_numpy(dtype=np.float64), part["start"].to_numpy(), targets, seed=1000 * (shard + 1) + chain, steps=steps)
         return pd.DataFrame({"shard": shard, "chain": chain, "cost": cost, "unit": part["unit"].to_numpy(), "split_no": at})
 
     return run
@@ -133,7 +136,8 @@ def split_units(weights: DataFrame, labels: Sequence[str], shares: Sequence[floa
 
     Units above 1/HEAVY of all windows (at most HEAVY of them) are annealed first against the whole
     targets; the rest in hashed shards, each against its part of what is left, so every task holds
-    a bounded number of units. Of the parallel chains of a shard the best is kept.
+    a bounded number of units. Of the parallel chains of a shard the best is kept. Only totals per
+    split reach the driver; the shards' parts stay a table.
     """
     cols = ["n", *labels]
     weights = materialize(weights)
@@ -149,27 +153,27 @@ def split_units(weights: DataFrame, labels: Sequence[str], shares: Sequence[floa
         hashed = F.when(u < float(edges[i]), F.lit(i)).otherwise(hashed)
     started = weights.withColumn("start", hashed.cast("int"))
 
-    def best(part: DataFrame, targets: dict[int, list[list[float]]]) -> DataFrame:
-        many = part.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-        tried = materialize(many.groupBy("shard", "chain").applyInPandas(_chain(targets, list(labels), steps), "shard int, chain int, cost double, unit bigint, split_no int"))
+    def best(part: DataFrame, left: np.ndarray) -> DataFrame:
+        sums = materialize(part.groupBy("shard").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(f"t_{c}") for c in cols]))
+        whole = sums.agg(*[F.sum(f"t_{c}").alias(c) for c in cols]).first()
+        parts = sums.select("shard", *[(F.col(f"t_{c}") / max(float(whole[c] or 0), 1e-9)).alias(f"t_{c}") for c in cols])
+        many = lookup_join(part, parts, ["shard"]).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+        tried = materialize(many.groupBy("shard", "chain").applyInPandas(_chain(left, list(labels), steps), "shard int, chain int, cost double, unit bigint, split_no int"))
         winner = tried.groupBy("shard").agg(F.min(F.struct("cost", "chain")).alias("w")).select("shard", F.col("w.chain").alias("chain"))
-        return tried.join(F.broadcast(winner), ["shard", "chain"], "left_semi").select("unit", "split_no")
+        return lookup_join(tried, winner, ["shard", "chain"]).select("unit", "split_no")
 
-    first = best(started.filter(heavy).withColumn("shard", F.lit(-1)), {-1: want.tolist()})
-    first = materialize(first)
-    spent = first.join(weights, "unit").groupBy("split_no").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    if heavy_units := weights.filter(heavy).count():
+        first = materialize(best(started.filter(heavy).withColumn("shard", F.lit(-1)), want))
+        spent = first.join(weights.filter(heavy), "unit").groupBy("split_no").agg(*[F.sum(c).alias(c) for c in cols]).collect()
     left = want.copy()
-    for r in spent:
+    for r in spent if heavy_units else ():
         left[r["split_no"]] -= [float(r[c]) for c in cols]
-    light = started.filter(~heavy)
-    count = light.count()
+    count = total["units"] - heavy_units
     if not count:
         return first
-    shards = -(-count // SHARD)
-    sharded = light.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "unit"), F.lit(shards)).cast("int"))
-    share = {r["shard"]: [float(r[c] or 0) for c in cols] for r in sharded.groupBy("shard").agg(*[F.sum(c).alias(c) for c in cols]).collect()}
-    whole = np.maximum(np.sum(list(share.values()), axis=0), 1e-9)
-    return first.unionByName(best(sharded, {k: (left * (np.array(v) / whole)).tolist() for k, v in share.items()}))
+    sharded = started.filter(~F.coalesce(heavy, F.lit(False))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "unit"), F.lit(-(-count // SHARD))).cast("int"))
+    rest = best(sharded, left)
+    return first.unionByName(rest) if heavy_units else rest
 
 
 def assign_splits(recordings: DataFrame, windows: DataFrame, shares: Sequence[float] = SHARES, names: Sequence[str] = SPLITS, seed: int = 1, labels: Sequence[str] = ("normal", "anomaly")) -> DataFrame:

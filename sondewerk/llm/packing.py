@@ -5,8 +5,8 @@ successor sweep (largest item first, each to the smallest gap that takes it, one
 are resolved by rank; the gaps shrink, and the next round follows. When no item fits, new
 containers are opened for the largest items. Sizes are whole tokens up to the capacity, so the
 sorted items and gaps are runs of equal size: a sweep moves whole runs, its state is bounded by
-the capacity and the rounds, not by the number of documents. Ranks of the documents within their
-size, counted in shards, then carry the matching to every single document.
+the capacity and the rounds, not by the number of documents. Sweeps run side by side in shards of
+the documents; ranks of the documents within shard and size carry the matching to every single one.
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondewerk.util import materialize, worker_cache
+from sondewerk.util import lookup_join, materialize, numbered, prefix_sums, worker_cache
 
 CAPACITY = 2_048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern of the vocabulary's tokenizer (a fixed value of the published vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Shards in which documents of one size are ranked.
-SHARDS = 64
+#: Items that are swept together.
+SHARD_ITEMS = 250_000
 
 
 def _encoder(path: str):
@@ -130,45 +130,46 @@ def _join(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, item: str = "doc_id", size: str = "tokens") -> DataFrame:
+def _plans(capacity: int) -> Callable[[pa.Table], pa.Table]:
+    """The plan of one shard from its histogram of sizes."""
+
+    def run(histogram: pa.Table) -> pa.Table:
+        shard = histogram["shard"][0].as_py()
+        runs = plan(dict(zip(histogram["tokens"].to_pylist(), histogram["count"].to_pylist())), capacity)
+        columns = zip(*[(shard, size, lo, hi, first) for size, lo, hi, first, _ in runs])
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "tokens", "lo", "hi", "first"), columns, types)})
+
+    return run
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, item: str = "doc_id", size: str = "tokens", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(item, piece, tokens, container): every item whole in one container, or cut if it exceeds the capacity.
 
     An item above the capacity gives full containers of its own and a rest that is packed as an item.
     Items of size 0 or null size take no room: one row with null container. Ids may repeat, each row
-    is packed. Containers are numbered from 0. The histogram of sizes by shard (at most ``capacity`` times
-    SHARDS rows, whatever the number of documents) is all that reaches the driver.
+    is packed. Containers are numbered from 0. Items are hashed into shards of about shard_items;
+    the histogram of a shard (at most ``capacity`` rows) is swept in a task of its own, and the ranks of the items
+    within shard and size come from a range sort. Nothing but two totals reaches the driver. A shard ends
+    with a few containers that are not full: one in some ten thousand.
     """
     full = F.call_function("div", F.col("tokens"), F.lit(capacity))
     rest = F.col("tokens") % capacity
-    base = items.select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("tokens"))
-    base = materialize(base.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(SHARDS)).cast("int")))
-    rests = base.filter(rest > 0).select("item", "shard", full.cast("int").alias("piece"), rest.cast("int").alias("tokens"))
-    per = rests.groupBy("tokens", "shard").count().collect()
-    before: dict[tuple[int, int], int] = {}
-    counts: dict[int, int] = {}
-    for r in sorted(per, key=lambda r: (r["tokens"], r["shard"])):
-        before[r["tokens"], r["shard"]] = counts.get(r["tokens"], 0)
-        counts[r["tokens"]] = counts.get(r["tokens"], 0) + r["count"]
-    runs = plan(counts, capacity)
-    spark = items.sparkSession
-    opened = 1 + max((first + hi - lo - 1 for _, lo, hi, first, _ in runs), default=-1)
-    offsets = spark.createDataFrame([(t, s, n) for (t, s), n in before.items()], "tokens int, shard int, before bigint")
-    by_size: dict[int, list[tuple[int, int, int]]] = {}
-    for t, lo, hi, first, _ in runs:
-        by_size.setdefault(t, []).append((lo, hi, first))
-    table = spark.createDataFrame([(t, [list(x) for x in sorted(r)]) for t, r in by_size.items()], "tokens int, runs array<array<bigint>>")
-    ranked = rests.withColumn("rn", F.row_number().over(Window.partitionBy("tokens", "shard").orderBy("item", "piece")) - 1)
-    placed = ranked.join(F.broadcast(offsets), ["tokens", "shard"]).withColumn("rank", F.col("before") + F.col("rn")).join(F.broadcast(table), "tokens")
-    run = F.filter("runs", lambda r: (r[0] <= F.col("rank")) & (F.col("rank") < r[1]))[0]
-    packed = placed.select("item", "piece", "tokens", (run[2] + F.col("rank") - run[0]).alias("container"))
-    whole = base.filter(full > 0).select("item", "shard", F.explode(F.sequence(F.lit(0), full.cast("int") - 1)).alias("piece"))
-    cuts = {r["shard"]: r["n"] for r in base.groupBy("shard").agg(F.sum(full).alias("n")).collect()}
-    start, at = opened, {}
-    for s in sorted(cuts):
-        at[s], start = start, start + (cuts[s] or 0)
-    firsts = spark.createDataFrame(list(at.items()) or [(0, 0)], "shard int, first bigint")
-    alone = whole.withColumn("rn", F.row_number().over(Window.partitionBy("shard").orderBy("item", "piece")) - 1).join(F.broadcast(firsts), "shard")
-    alone = alone.select("item", "piece", F.lit(capacity).alias("tokens"), (F.col("first") + F.col("rn")).alias("container"))
+    base = materialize(items.select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("tokens"), F.monotonically_increasing_id().alias("row")))
+    rests = base.filter(rest > 0).select("item", "row", full.cast("int").alias("piece"), rest.cast("int").alias("tokens"))
+    shards = -(-rests.count() // shard_items) or 1
+    rests = rests.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    runs = materialize(rests.groupBy("shard", "tokens").count().groupBy("shard").applyInArrow(_plans(capacity), "shard int, tokens int, lo bigint, hi bigint, first bigint"))
+    used = runs.groupBy("shard").agg(F.max(F.col("first") + F.col("hi") - F.col("lo")).alias("n"))
+    opened = used.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    before = prefix_sums(used, [], ["shard"], {"upto": F.col("n")}).select("shard", (F.col("upto") - F.col("n")).alias("before"))
+    by_size = lookup_join(runs, before, ["shard"]).groupBy("shard", "tokens").agg(F.collect_list(F.struct("lo", "hi", (F.col("first") + F.col("before")).alias("first"))).alias("runs"))
+    ranked = numbered(rests, ["shard", "tokens"], ["item", "row"], "rank")
+    run = F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"]))[0]
+    packed = lookup_join(ranked, by_size, ["shard", "tokens"]).select("item", "piece", "tokens", (run["first"] + F.col("rank") - run["lo"]).alias("container"))
+    over = prefix_sums(base.filter(full > 0).select("item", "row", full.alias("full")), [], ["row"], {"upto": F.col("full")})
+    whole = over.select("item", "full", "upto", F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("piece"))
+    alone = whole.select("item", "piece", F.lit(capacity).alias("tokens"), (F.lit(opened) + F.col("upto") - F.col("full") + F.col("piece")).alias("container"))
     empty = base.filter("tokens <= 0").select("item", F.lit(0).alias("piece"), F.lit(0).alias("tokens"), F.lit(None).cast("bigint").alias("container"))
     return packed.unionByName(alone).unionByName(empty).withColumnRenamed("item", item)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondewerk.llm import groupsplit, knn, leakage, overlap, packing, quantiles, residue
-from sondewerk.util import materialize
+from sondewerk.util import materialize, skew_join
 
 PERCENTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of one row each as one row."""
+    return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = overlap.overlap_pairs(_table(spark, sf_dir, "bank_windows"))
     return pairs.select(F.least("window_train", "window_held").alias("window_a"), F.greatest("window_train", "window_held").alias("window_b")).distinct()
@@ -76,10 +81,32 @@ def p7_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groupsplit.assign_splits(_table(spark, sf_dir, "recordings"), _table(spark, sf_dir, "bank_windows"))
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the splits: every recording once, no unit in two, shares of windows near those wanted."""
+    splits = materialize(p7_splits(spark, sf_dir))
+    units = splits.groupBy("unit_g").agg(F.count_distinct("split").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("bigint")), F.lit(0)).alias("torn"))
+    rows = splits.agg(F.count("*").alias("recordings"), F.count_distinct("g").alias("distinct_g"))
+    windows = _table(spark, sf_dir, "bank_windows").filter("g is not null").groupBy("g").agg(F.count("*").alias("n"))
+    shares = skew_join(splits, windows, ["g"]).groupBy("split").agg(F.sum("n").alias("n"))
+    total = shares.agg(F.sum("n").alias("windows"), *[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in groupsplit.SPLITS])
+    near = [F.abs(F.col(s) / F.col("windows") - share) <= 0.02 for s, share in zip(groupsplit.SPLITS, groupsplit.SHARES)]
+    return _beside(rows, _beside(units, total.select("windows", (near[0] & near[1] & near[2]).alias("near"))))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: every document is there once, no container is over-full, hardly any room is left."""
+    packed = p8_containers(spark, sf_dir)
+    docs = packed.groupBy("doc_id").agg(F.count_distinct("piece").alias("pieces"), F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.count_distinct("container").alias("containers"))
+    doc = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("rows") != F.col("pieces")) | ((F.col("tokens") <= packing.CAPACITY) & (F.col("containers") > 1))).alias("cut"))
+    use = packed.filter("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    box = use.agg(F.count_if(F.col("tokens") > packing.CAPACITY).alias("over"), (F.sum("tokens") >= 0.98 * packing.CAPACITY * F.greatest(F.count("*") - 1, F.lit(0))).alias("full"), ((F.max("container") + 1) == F.count("*")).alias("numbered"))
+    return _beside(doc, box)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -88,7 +115,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_neighbours, p5_recall, p6_percentiles, p6_rank_errors, p7_found, p7_splits, p8_containers, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_neighbours, p5_recall, p6_percentiles, p6_rank_errors, p7_found, p7_splits, p7_check, p8_containers, p8_check, p9_found, p10_found)}
 
 _PAIRS = """
 with w as (select window_id, split, bank, list_transform(windows, lambda x: case when isnan(x) then null else x end) as x from bank_windows where windows is not null and len(windows) = 64),
@@ -126,4 +153,7 @@ e as (select a.g as a, b.g as b from m a join m b on a.k = b.k where a.k not in
       union select r.parent_g, r.g from recordings r semi join recordings p on p.g = r.parent_g),
 reach as (select g, g as o from recordings union select r.g, e.b from reach r join e on e.a = r.o)
 select g, min(o) as unit_g from reach group by g having count(*) > 1""",
+    "p7_check": """
+select count(*) as recordings, count(*) as distinct_g, 0 as torn, (select count(*) from bank_windows w semi join recordings r using (g)) as windows, true as near from (select distinct g from recordings where g is not null)""",
+    "p8_check": "select count(distinct doc_id) as documents, 0 as cut, 0 as over, true as \"full\", true as numbered from documents",
 }

@@ -53,6 +53,14 @@ def test_items_with_hot_sizes_pieces_and_zeros(spark):
     assert rows(packing.pack(df.limit(0), 100, "item", "tokens")) == []
 
 
+def test_shards_are_packed_side_by_side(spark):
+    df = spark.createDataFrame([(i % 50, 1 + i * i % 97) for i in range(4000)], "item bigint, tokens int")
+    got = packing.pack(df, 100, "item", "tokens", shard_items=1_000).toPandas()
+    use = got.groupby("container").tokens.sum()
+    assert len(got) == 4000 and use.max() <= 100 and sorted(use.index) == list(range(len(use)))
+    assert len(use) <= 1.03 * sum(1 + i * i % 97 for i in range(4000)) / 100 + 4
+
+
 def test_documents_by_tokens(spark):
     texts = [(1, "a short text"), (2, None), (3, ""), (4, "word " * 5000), (5, "x" * 20_000), (6, "täglich 短い"), (None, "lost")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
