@@ -82,14 +82,14 @@ def p7_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of the splits: every recording once, no unit in two, shares of windows near those wanted."""
+    """What must hold of the splits: every recording once, no unit in two, shares of windows within 2 % and the largest unit of those wanted."""
     splits = materialize(p7_splits(spark, sf_dir))
     units = splits.groupBy("unit_g").agg(F.count_distinct("split").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("bigint")), F.lit(0)).alias("torn"))
     rows = splits.agg(F.count("*").alias("recordings"), F.count_distinct("g").alias("distinct_g"))
     windows = _table(spark, sf_dir, "bank_windows").filter("g is not null").groupBy("g").agg(F.count("*").alias("n"))
-    shares = skew_join(splits, windows, ["g"]).groupBy("split").agg(F.sum("n").alias("n"))
-    total = shares.agg(F.sum("n").alias("windows"), *[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in groupsplit.SPLITS])
-    near = [F.abs(F.col(s) / F.col("windows") - share) <= 0.02 for s, share in zip(groupsplit.SPLITS, groupsplit.SHARES)]
+    counted = materialize(skew_join(splits, windows, ["g"]).groupBy("unit_g", "split").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n").alias("windows"), F.max("n").alias("largest"), *[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in groupsplit.SPLITS])
+    near = [F.abs(F.col(s) / F.col("windows") - share) <= 0.02 + F.col("largest") / F.col("windows") for s, share in zip(groupsplit.SPLITS, groupsplit.SHARES)]
     return _beside(rows, _beside(units, total.select("windows", (near[0] & near[1] & near[2]).alias("near"))))
 
 
