@@ -29,6 +29,7 @@ FIELDS = {
     "merge field": r"«\s*\w[\w. ]*»|\*\|\s*\w[\w. ]*\|\*",
     "request in brackets": r"(?i)[\[<(]\s*(?:todo|tbd|fixme|insert|enter|fill in|your|add|replace|choose|bitte|hier|name de[rs]|eintragen|einfügen|einsetzen|ihre?n?\b|platzhalter|placeholder)[^\[\]<>()\n]{0,60}[\])>]",
     "date pattern": r"\[\s*(?:DATE|NAME|TITLE|DATUM|TITEL|COMPANY|FIRMA|AUTHOR|LOCATION|ORT|TT\.MM\.JJJJ|DD[/.]MM[/.]YYYY|YYYY-MM-DD)\s*\]",
+    "title in brackets": r"\[(?:[A-ZÄÖÜ][\wäöüß]*\.? )*(?:Name|Names|No|Nr|Number|Nummer|Date|Datum|Address|Adresse|Title|Titel|Company|Firma|Amount|Betrag|Email|E-Mail|Phone|Telefon|Street|City|Ort|Signature|Unterschrift)\.?\](?!\()",
     "repeated mark": r"(?<![\w.])(?:(?:TBD|TODO|XXX+|FIXME|N\.N\.)[ ,;]+){1,}(?:TBD|TODO|XXX+|FIXME|N\.N\.)(?!\w)",
     "masked value": r"(?<![\w.])(?:XX+[.,:/-]XX+|\?\?\?+|_{4,})(?![\w])",
 }
@@ -64,18 +65,20 @@ RAISED = r"(?:[a-z_]\w*\.)*[A-Z]\w*(?::\s.*)?"
 APART = r"(?:[-*+•|#>=]|\d+[.)]\s|\d{1,4}[-:./]\d)"
 
 #: What must stand in a text for a field, a filler phrase or a filler run to be possible: cheap tests before the patterns.
-_MAY_FIELD = re.compile(r"\{\{|\{%|[$#]\{|\{\d{0,2}\}|%%|%[A-Z]|@@|<<|<%|\[\[|__|\$[a-z]|«|\*\||[\[<(]\s*[^\W\d]{2}|XX|\?\?\?|TBD|TODO|FIXME|N\.N")
+_FIELD_MARKS = ("{{", "{%", "${", "#{", "%%", "@@", "<<", "<%", "[[", "__", "«", "*|", "XX", "???", "TBD", "TODO", "FIXME", "N.N")
+_FIELD_OPENERS, _FIELD_OPENED = "{%$[<(", re.compile(r"\{\d{0,2}\}|%[A-Z]|\$[a-z]|[\[<(]\s*[^\W\d]{2}")
 _MAY_FILL = ("lorem", "blindtext", "platzhalter", "beispieltext", "keinen inhalt", "placeholder", "dummy", "sample", "filler", "will be re", "headline", "heading", "title", "titel", "überschrift", "your text", "your content", "subtext", "subcontent", "ihr text", "ihre text", "ihr content", "ihre content", "replace this", "to add ", "to edit ", "ersetzen sie", "text here", "quick brown", "xxx")
-_WORDS = re.compile(r"[a-z]+")
-_LATIN_WORDS = frozenset(LATIN.split())
-_KEYBOARD = frozenset(("asd", "qwe", "yxc", "zxc", "jkl", "tes", "foo", "bar", "bla", "xyz", "abc"))
+#: Words of LATIN that are words of other languages, too: a run needs another one.
+COMMON = frozenset("do in ad id ex et sit sed est eu ea ut non sunt culpa minim anim".split())
+_RARE = frozenset(LATIN.split()) - COMMON
+_KEYBOARD = ("asd", "qwe", "yxc", "zxc", "jkl", "tes", "foo", "bar", "bla", "xyz", "abc")
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _SPAN = re.compile(r"`[^`\n]+`")
 _TAGS = re.compile(r"<(?!<)/?(?:!doctype|html|body|head|title|h\d|p|br|hr|div|span|center|a|b|i|pre|code|meta|link|style|script)\b[^<>]*>", re.I)
 _FIELD = re.compile("|".join(f"(?:{p})" if "(?i)" not in p else f"(?i:{p.replace('(?i)', '')})" for p in FIELDS.values()))
-_FILL = re.compile(rf"(?:^|[.!?:;\n>]\s*|\s)(?:{'|'.join(FILLER)})", re.I)
-_LATIN = re.compile(rf"\b(?:(?:{'|'.join(LATIN.split())})\b[\s,.;:]*){{{RUN},}}", re.I)
+_FILL = re.compile(rf"(?:^|(?<=[.!?:;\s>]))(?:{'|'.join(FILLER)})")  # this and the next on lower-cased text
+_LATIN = re.compile(rf"\b(?:(?:{'|'.join(LATIN.split())})\b[\s,.;:]*){{{RUN},}}")
 _ERROR = re.compile(rf"\W*(?:{'|'.join(ERRORS)})", re.I)
 _NOTICE = re.compile(rf"\W*(?:{'|'.join(NOTICES)})", re.I)
 _FURNITURE = re.compile(FURNITURE, re.I)
@@ -83,41 +86,39 @@ _TRACE = re.compile(rf"\W*{TRACE}", re.I)
 _FRAME = re.compile(FRAME, re.I)
 _RAISED = re.compile(RAISED)
 _APART = re.compile(APART)
+_WORD = re.compile(r"\w+")
 _QUOTED = re.compile(r"[\"“„‚‘»']\s*$")
-#: Words around a field or a filler phrase that show it is spoken of, not left open.
-TALK = re.compile(r"(?i)\b(?:stands? for|steht für|stehen für|syntax|writes?|written as|renders?|replaced|ersetzt|placeholders? (?:is|are|was|were)|template began|called|named|such as|e\.g\.|z\. ?b\.|topic|formula|regex|pattern|variable|expands?|escape|shell|script sets)\b")
+#: An indented block of code, introduced by a colon.
+_INDENTED = re.compile(r"(?<=:)[ \t]*\n(?:[ \t]*\n)+(?:(?: {4}|\t).*(?:\n|\Z)|[ \t]*\n(?= {4}|\t))+")
+#: Sentences that speak about fields or filler, whatever stands around.
+TALK = re.compile(r"(?i)\b(?:stands? for|steht für|stehen für|syntax|written as|renders?|replaced by|replaces|ersetzt|placeholders? (?:is|are|was|were)|template began|formula|regex|expands? to|escapes?|escaped|script sets)\b")
+#: What stands right before a field or filler phrase that is spoken of: the name of such a thing, or an example.
+ABOUT = re.compile(r"(?i)\b(?:(?:field|variable|placeholder|template|token|key|tag|marker|pattern|topic|expression|shell|feld|platzhalter|vorlage|ausdruck)\w*(?: (?:named|called|like|namens|wie))?|such as|e\.g\.|z\. ?b\.|for example|zum beispiel|writes?|wrote|schreibt?)[,:]? *$")
+#: A line that opens with a message; on lower-cased text.
+_MESSAGE = re.compile(rf"^[^\w\n]*(?:{'|'.join((*ERRORS, *NOTICES))})", re.M)
 
 
-def _sentence(text: str, start: int, end: int) -> str:
+def _sentence(text: str, start: int, end: int) -> tuple[int, int]:
     a = max(text.rfind(c, 0, start) for c in ("\n", ". ", "! ", "? "))
     b = min((p for c in ("\n", ". ", "! ", "? ") if (p := text.find(c, end)) >= 0), default=len(text))
-    return text[a + 1 : b]
+    return a + 1, b
 
 
-def kind_of(text: str | None) -> str | None:
-    """field, filler, error or notice: what stands in place of content, or None.
+def _spoken_of(text: str, start: int, end: int) -> bool:
+    """Whether what stands at start:end is quoted, an example, or the subject of its sentence."""
+    a, b = _sentence(text, start, end)
+    return bool(_QUOTED.search(text, max(0, start - 2), start) or ABOUT.search(text, a, start) or TALK.search(text[a:start] + " " + text[end:b]))
 
-    Code blocks and code spans are passed over. A field or filler phrase counts unless its sentence
-    speaks about it or quotes it. An error or notice counts when it opens a line and, beside it and
-    page furniture (title, menu, footer), hardly any other text stands. The rest of a paragraph that
-    a message opens belongs to it, and the frames of a trace up to the line of its exception.
-    """
-    if not text or not text.strip():
+
+def _message(bare: str) -> str | None:
+    """error or notice if the page is such a message, with hardly any other text."""
+    page = bare
+    if "<" in bare:
+        page = _TAGS.sub("\n", bare.replace("<noscript>", "\n<noscript "))
+    if "&" in page:
+        page = html.unescape(page)
+    if not _MESSAGE.search(page.lower()):
         return None
-    bare = _SPAN.sub(" ", _FENCE.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n")))
-    for m in _FIELD.finditer(bare) if _MAY_FIELD.search(bare) else ():
-        if not TALK.search(_sentence(bare, m.start(), m.end())) and not _QUOTED.search(bare[max(0, m.start() - 2) : m.start()]):
-            return "field"
-    low = bare.lower()
-    said = _WORDS.findall(low)
-    latin = sum([w in _LATIN_WORDS for w in said]) >= RUN
-    fill = any(k in low for k in _MAY_FILL) or low.count("text") >= 4 or sum([w[:3] in _KEYBOARD for w in said]) >= 4
-    for rx in [r for r, may in ((_LATIN, latin), (_FILL, fill)) if may]:
-        for m in rx.finditer(bare):
-            said = _sentence(bare, m.start() + 1, m.end())
-            if not _QUOTED.search(bare[max(0, m.start() - 1) : m.start() + 1].strip()) and not TALK.search(said.replace(m.group(), " ")):
-                return "filler"
-    page = html.unescape(_TAGS.sub("\n", bare.replace("<noscript>", "\n<noscript ")))
     kind, rest, told, title = None, 0, 0, True
     # inside: a paragraph or a trace that belongs to a message; code: the line of source below a frame
     inside, code, opens = None, False, True
@@ -147,9 +148,38 @@ def kind_of(text: str | None) -> str | None:
         elif not (_FURNITURE.fullmatch(line) or (title and len(line) <= 60 and not line.endswith((".", "!", "?")))):
             rest += len(line)
         title = opens = False
-    if kind and rest <= max(REST, SHARE * (rest + told)):
-        return kind
-    return None
+    return kind if kind and rest <= max(REST, SHARE * (rest + told)) else None
+
+
+def kind_of(text: str | None) -> str | None:
+    """field, filler, error or notice: what stands in place of content, or None.
+
+    Code blocks (fenced, or indented below a colon) and code spans are passed over. A field or filler
+    phrase counts unless it is quoted, named as a field or example right before, or its sentence
+    speaks about such things. An error or notice counts when it opens a line and, beside it and
+    page furniture (title, menu, footer), hardly any other text stands. The rest of a paragraph that
+    a message opens belongs to it, and the frames of a trace up to the line of its exception.
+    """
+    if not text or not text.strip():
+        return None
+    bare = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    if "```" in bare or "~~~" in bare:
+        bare = _FENCE.sub(" ", bare)
+    if "`" in bare:
+        bare = _SPAN.sub(" ", bare)
+    shown = _INDENTED.sub("\n", bare) if ":" in bare else bare
+    if any(k in shown for k in _FIELD_MARKS) or (any(c in shown for c in _FIELD_OPENERS) and _FIELD_OPENED.search(shown)):
+        for m in _FIELD.finditer(shown):
+            if not _spoken_of(shown, m.start(), m.end()):
+                return "field"
+    low = shown.lower()
+    latin = not _RARE.isdisjoint(_WORD.findall(low))
+    fill = any(k in low for k in _MAY_FILL) or low.count("text") >= 4 or sum([low.count(k) for k in _KEYBOARD]) >= 4
+    for rx in [r for r, may in ((_LATIN, latin), (_FILL, fill)) if may]:
+        for m in rx.finditer(low):
+            if (rx is _FILL or not COMMON.issuperset(_WORD.findall(m.group()))) and not _spoken_of(low, m.start(), m.end()):
+                return "filler"
+    return _message(bare)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,19 @@ def test_the_whole_message_counts_as_message():
     # who tells of an error is left alone
     for text in (trace + "\n" + LONG, trace + "\n\n" + LONG, LONG + "\n\n" + wrapped, "Log of the night\nError 503: no answer\n" + "12:05 the poller was started again by hand\n" * 9, "502 Bad Gateway\n" + "- the poller was started again by hand\n" * 9):
         assert residue.kind_of(text) is None, text
+
+
+def test_context_and_density_of_fields():
+    opened = ["The customer named {{name}} will arrive on {{date}} at the site. " + LONG, "The topic is ${project} and the date is ${date}.", "Dear [Customer Name], your order [Order No] has shipped.", "The variable costs are {{amount}} EUR.", "It is called {{ title }} here."]
+    assert [residue.kind_of(t) for t in opened] == ["field"] * len(opened)
+    spoken = [
+        "To show the name, write this:\n\n    Dear {{ name }},\n    on {{ date }}\n\nThe generator does the rest.", "A field called {{ name }} is filled at night.", "For example {{ name }} is filled at night.", "The syntax {{ name }} is that of the old generator.",
+        "In the regex \\w{0} the count is zero.", "See [Customer Name](https://example.org) for more.", "Do in it as id ad ex et sit in do id ad.",
+    ]
+    assert [residue.kind_of(t) for t in spoken] == [None] * len(spoken)
+    assert residue.kind_of("The note stands for itself.\n\n    Dear {{ name }},") == "field"
+
+
+def test_a_single_run_of_filler_amid_a_long_text():
+    assert residue.kind_of(LONG * 50 + "\nExcepteur sint occaecat cupidatat non proident.\n" + LONG * 50) == "filler"
+    assert residue.kind_of("İ" * 40 + " " + LONG + "lorem ipsum dolor sit amet") == "filler"
