@@ -108,20 +108,32 @@ def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+    hits = leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), item_answer="answer")
+    return hits.filter("part = 'text'").select("doc_id", "item_id").distinct()
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), item_answer="answer")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_neighbours, p5_recall, p6_percentiles, p6_rank_errors, p7_found, p7_splits, p7_check, p8_containers, p8_check, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_neighbours, p5_recall, p6_percentiles, p6_rank_errors, p7_found, p7_splits, p7_check, p8_containers, p8_check, p9_found, p9_report, p10_found)}
 
 _PAIRS = """
 with w as (select window_id, split, bank, list_transform(windows, lambda x: case when isnan(x) then null else x end) as x from bank_windows where windows is not null and len(windows) = 64),
 s as (select distinct w.window_id, w.split, p.i, x[p.i]::double as v from w, (select unnest(range(1, 65)) as i) p),
 c as (select f.window_id as f_id, h.window_id as h_id, corr(f.v, h.v) as r from s f join s h on f.i = h.i where f.split = 'fit' and h.split in ('eval', 'replication') group by all)"""
 
+# SQL has no NFKC: the compatibility characters of the tables are named
+_LEAKS = """
+with norm as (select 'd' as kind, doc_id as id, text, null as answer from documents where doc_id is not null and text is not null union all select 'i', item_id, text, answer from eval_items where text is not null),
+w as (select kind, id, answer, list_filter(string_split_regex(replace(replace(replace(replace(replace(replace(replace(lower(nfc_normalize(text)), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), '™', 'tm'), '¼', '1/4'), chr(173), ''), chr(8203), ''), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws from norm),
+g as (select kind, id, answer, ws, array_to_string(ws[p:p+15], ' ') as gram from (select kind, id, answer, ws, unnest(range(1, len(ws) - 14)) as p from w where len(ws) >= 16)),
+h as (select d.id as doc_id, i.id as item_id, bool_or(contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || lower(i.answer) || ' ')) as answered from g d join g i on d.kind = 'd' and i.kind = 'i' and d.gram = i.gram group by all)"""
+
 ORACLES = {
     "p2_found": _PAIRS + " select distinct least(f_id, h_id) as window_a, greatest(f_id, h_id) as window_b from c where r >= 0.97",
     "p2_report": _PAIRS + """, k as (select distinct h_id from c where r >= 0.97)
@@ -156,4 +168,6 @@ select g, min(o) as unit_g from reach group by g having count(*) > 1""",
     "p7_check": """
 select count(*) as recordings, count(*) as distinct_g, 0 as torn, (select count(*) from bank_windows w semi join recordings r using (g)) as windows, true as near from (select distinct g from recordings where g is not null)""",
     "p8_check": "select count(distinct doc_id) as documents, 0 as cut, 0 as over, true as \"full\", true as numbered from documents",
+    "p9_found": _LEAKS + " select doc_id, item_id from h",
+    "p9_report": _LEAKS + " select item_id, count(*) as documents, count(*) filter (where answered) as with_answer from h group by 1",
 }

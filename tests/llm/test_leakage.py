@@ -35,11 +35,16 @@ def test_random_passages_against_brute_force(spark):
     df, it = spark.createDataFrame([(*d, "t") for d in docs], "doc_id bigint, text string, words string"), spark.createDataFrame([(*i, 1) for i in items], "item_id bigint, text string, doc_id int")
     want = brute(docs, items)
     assert {(x.doc_id, x.item_id) for x in leakage.leaks(df, it).collect()} == want and want
-    leakage.ITEMS, keep = 7, leakage.ITEMS
-    try:
-        assert {(x.doc_id, x.item_id) for x in leakage.leaks(df, it).collect()} == want
-    finally:
-        leakage.ITEMS = keep
+    assert {(x.doc_id, x.item_id) for x in leakage.leaks(df, it, bank_chars=500).collect()} == want
+
+
+def test_answers_are_in_the_automaton(spark):
+    long = " ".join(f"step{i}" for i in range(20))
+    items = spark.createDataFrame([(1, ITEM, "Ninety Dips"), (2, ITEM, "no"), (3, "short", long), (4, None, "alone"), (5, ITEM, None)], "item_id bigint, text string, answer string")
+    docs = spark.createDataFrame([(1, ITEM + " The answer: ninety… DIPS!"), (2, ITEM), (3, "only ninety dips and no more"), (4, "x " + long.upper() + " y")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.part): r.answer for r in leakage.leaks(docs, items, item_answer="answer").collect()}
+    assert got == {(1, 1, "text"): True, (1, 2, "text"): False, (1, 5, "text"): False, (2, 1, "text"): False, (2, 2, "text"): False, (2, 5, "text"): False, (4, 3, "answer"): True}
+    assert rows(leakage.leak_report(docs, items, item_answer="answer")) == [(1, 2, 1), (2, 2, 0), (3, 1, 1), (5, 2, 0)]
 
 
 def test_spans_name_the_original_text(spark):
