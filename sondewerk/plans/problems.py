@@ -26,6 +26,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale, threshold and number of hits of every wavelet level of every node's payloads."""
+    return anomaly.frame_levels(table(spark, sf_dir, "frames"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = regrid.frame_series(table(spark, sf_dir, "frames"), table(spark, sf_dir, "nodes"), only_missing=True)
     polls = regrid.poll_series(table(spark, sf_dir, "geomag_watch"), only_missing=True)
@@ -33,7 +38,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_levels, p4_found)}
 
 _MESSAGES = """
 with d as (select *, ts_us - lag(ts_us) over (partition by node_id, seq order by ts_us, delivery_id) as gap

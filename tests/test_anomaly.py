@@ -5,17 +5,35 @@ from sondewerk.util import exact_median
 from tests.conftest import rows
 
 
-def test_haar_bound_holds_for_any_length():
+def test_details_bound_every_value_of_any_length():
     rng = np.random.default_rng(0)
     lengths = np.array([0, 1, 2, 3, 5, 17, 64, 100])
     v = rng.integers(-3000, 3000, lengths.sum())
     starts = np.cumsum(lengths) - lengths
-    a, w = anomaly.haar_bound(v, starts, lengths)
-    for s, n, x, b in zip(starts, lengths, a, w):
+    approx, details = anomaly.haar_levels(v, starts, lengths)
+    for s, n, x, d in zip(starts, lengths, approx, details):
         if n:
-            assert (np.abs(v[s : s + n] - x) <= b + 1e-9).all()
-    flat = np.full(9, 7)
-    assert anomaly.haar_bound(flat, np.array([0]), np.array([9]))[1][0] == 0
+            assert len(d) == np.ceil(np.log2(n)) and (np.abs(v[s : s + n] - x) <= d.sum() + 1e-9).all()
+    assert not anomaly.haar_levels(np.full(9, 7), np.array([0]), np.array([9]))[1][0].any()
+
+
+def test_thresholds_are_scaled_and_add_up_to_the_limit(spark):
+    scales = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (1, 2, 1.0), (2, 0, 0.0)], "source bigint, level int, scale double")
+    limits = spark.createDataFrame([(1, 40.0), (2, 32.0)], "source bigint, limit double")
+    got = {r.source: [(x.level, round(x.threshold, 6)) for x in r.levels] for r in anomaly.thresholds(scales, limits).collect()}
+    assert got == {1: [(-1, 8.0), (0, 16.0), (1, 8.0), (2, 8.0)], 2: [(-1, 16.0), (0, 16.0)]}
+
+
+def test_levels_of_frames(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, i % 2, i, i * 10_000_000, (rng.standard_normal(16) * 20 * (1 + i % 2)).astype(int).tolist()) for i in range(80)]
+    data[10][4][5] = 1500
+    got = {(r.source, r.level): r for r in anomaly.frame_levels(frames(spark, data)).collect()}
+    assert sorted(got) == [(s, j) for s in (0, 1) for j in range(-1, 4)]
+    for s in (0, 1):
+        finest = np.median([np.abs(np.diff(np.array(r[4]).reshape(-1, 2), axis=1)).max() / 2 for r in data if r[1] == s])
+        assert finest / 1.2 <= got[s, 0].scale <= finest * 1.2 and got[s, 0].frames == 40
+    assert got[0, 0].above == 1 and got[1, 0].above == 0
 
 
 FRAME = "delivery_id bigint, node_id bigint, seq bigint, ts_us bigint, payload array<smallint>, source string, kind string"
