@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondewerk.operators.dedup import messages
-from sondewerk.util import exact_median, lookup_join, materialize, median_of_counts, skew_join
+from sondewerk.util import exact_median, lookup_join, materialize, median_of_counts
 
 #: ADC range of a sample and range of the Kp index.
 SAMPLE_RANGE, KP_RANGE = (-2048, 2047), (0.0, 9.0)
@@ -173,7 +173,7 @@ def bad_frames(frames: DataFrame, row_id: str = "delivery_id", source: str = "no
     # two samplings of one payload have no detail between them: equal hashes, but another message
     again = stats.filter("seq is not null and ts_us is not null").groupBy("source", "h1", "h2").agg(F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
     again = again.filter("s0 <> s1 or t1 - t0 > 2000000").select("source", "h1", "h2")
-    copies = skew_join(stats.filter("not flat").select("row_id", "source", "h1", "h2"), again, ["source", "h1", "h2"])
+    copies = lookup_join(stats.filter("not flat").select("row_id", "source", "h1", "h2"), again, ["source", "h1", "h2"])
     stuck = lookup_join(stats.filter("flat").select("row_id", "source").unionByName(copies.select("row_id", "source")), live, ["source"]).select("row_id")
     kinds = impossible.withColumn("kind", F.lit("impossible")).unionByName(spikes.withColumn("kind", F.lit("spike"))).unionByName(stuck.withColumn("kind", F.lit("stuck")))
     return kinds.groupBy(F.col("row_id").alias(row_id)).agg(*[F.max(F.col("kind") == k).alias(k) for k in ("impossible", "spike", "stuck")])
@@ -259,7 +259,7 @@ def bad_energies(table: DataFrame, row_id: str = "emb_id", source: str = "node_i
         spikes = hits if spikes is None else spikes.unionByName(hits)
     finite = sourced.filter(F.abs("rms") < float("inf"))
     often = finite.groupBy("source", "rms").agg(F.count_distinct("seq").alias("seqs")).filter(F.col("seqs") >= STUCK_SEQS).select("source", "rms")
-    stuck = skew_join(finite.select("row_id", "source", "rms"), often, ["source", "rms"]).select("row_id")
+    stuck = lookup_join(finite.select("row_id", "source", "rms"), often, ["source", "rms"]).select("row_id")
     kinds = impossible.withColumn("kind", F.lit("impossible")).unionByName(spikes.withColumn("kind", F.lit("spike"))).unionByName(stuck.withColumn("kind", F.lit("stuck")))
     return kinds.groupBy(F.col("row_id").alias(row_id)).agg(*[F.max(F.col("kind") == k).alias(k) for k in ("impossible", "spike", "stuck")])
 

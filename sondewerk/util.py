@@ -14,8 +14,8 @@ from pyspark.sql.types import IntegerType
 
 #: A side of a join is broadcast only up to this many (narrow) rows; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
-#: At most this many hot keys are looked at when a join is salted.
-HOT_KEYS = 1_000
+#: At most this many hot keys are cut when a join is salted; any other key holds under this part of all rows.
+HOT_KEYS = 20_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -77,19 +77,16 @@ def _div(x: Column, d: int) -> Column:
     return F.call_function("div", x, F.lit(d))
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join rows to a table with one row per key.
 
-    The table is materialised and counted. Up to max_rows rows it is broadcast. Beyond that both
-    sides are shuffled by key and a salt, the table repeated once per salt, so that a key holding
-    a third of all rows is spread over ``salts`` tasks.
+    The table is materialised and counted. Up to max_rows rows it is broadcast. Beyond that it is a
+    ``skew_join``, in which only the table's rows of hot keys are repeated.
     """
     table = materialize(table)
     if table.count() <= max_rows:
         return rows.join(F.broadcast(table), list(keys), how)
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys]), F.lit(salts)).cast("int")
-    return rows.withColumn("__salt", spread).join(salted, [*keys, "__salt"], how).drop("__salt")
+    return skew_join(rows, table, keys, how=how)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> list:
@@ -103,7 +100,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows:
 
     The right rows of a hot key are repeated once per block; all other keys join as usual. Neither
     side is ever broadcast: the size of what Python operators give out is not known to the planner. The
-    list of hot keys (``hot``, if the caller has it) is bounded by HOT_KEYS, a key past that place holds under a thousandth of the rows.
+    list of hot keys (``hot``, if the caller has it) is bounded by HOT_KEYS, a key past that place holds under a HOT_KEYS-th of the rows.
     """
     hot = hot_keys(left, keys, min_rows) if hot is None else hot
     if not hot:
