@@ -82,13 +82,22 @@ def deduplicate(df: DataFrame, row_id: str = "delivery_id", **how) -> DataFrame:
 def admit(batch: DataFrame, stored: DataFrame, row_id: str = "delivery_id", keys: Sequence[str] = KEYS, time: str = "ts_us", tolerance: int = TOLERANCE_US, **how) -> DataFrame:
     """The rows of a new batch that open a message not yet stored, one per message.
 
-    stored: keys, first_us and last_us of the messages so far (``messages`` or ``kept``). A delivery
-    within the tolerance of a stored span belongs to that message. Rows that name no message pass.
+    stored: keys, first_us and last_us of the messages so far (``messages`` or ``kept``). A message of
+    the batch belongs to a stored one if their spans come within the tolerance of each other,
+    whichever of its deliveries does. Rows that name no message pass. Both sides are cut in cells of
+    four tolerances, so the join is an equi-join on keys and cell.
     """
-    one = deduplicate(batch, row_id=row_id, keys=keys, time=time, tolerance=tolerance, **how)
-    lo, hi = F.col("first_us") - tolerance, F.col("last_us") + tolerance
-    spans = stored.select(*[F.col(c).alias(f"__s_{c}") for c in keys], lo.alias("__from"), hi.alias("__to"), F.explode(F.sequence(floor_div(lo, tolerance), floor_div(hi, tolerance))).alias("__cell_s"))
-    cond = floor_div(F.col(time), tolerance) == F.col("__cell_s")
-    for c in keys:
-        cond &= F.col(c) == F.col(f"__s_{c}")
-    return one.join(spans, cond & (F.col(time) >= F.col("__from")) & (F.col(time) <= F.col("__to")), "left_anti")
+    new = kept(_usable(batch, (row_id,)), row_id=row_id, keys=keys, time=time, tolerance=tolerance, **how)
+    cell = 4 * tolerance
+
+    def cells(df: DataFrame, wider: int) -> DataFrame:
+        lo, hi = floor_div(F.col("first_us") - wider, cell), floor_div(F.col("last_us") + wider, cell)
+        return df.withColumn("__cell", F.explode(F.sequence(lo, hi)))
+
+    old = cells(stored.select(*keys, "first_us", "last_us"), tolerance).select(*keys, "__cell", (F.col("first_us") - tolerance).alias("__from"), (F.col("last_us") + tolerance).alias("__to"))
+    met = cells(new.select(*keys, "first_us", "last_us", "kept_id"), 0).join(old, [*keys, "__cell"]).filter((F.col("first_us") <= F.col("__to")) & (F.col("last_us") >= F.col("__from"))).select("kept_id")
+    opened = new.select("kept_id").join(met, "kept_id", "left_anti").select(F.col("kept_id").alias(row_id))
+    names = F.lit(True)
+    for c in (*keys, time, row_id):
+        names &= F.col(c).isNotNull()
+    return batch.filter(names).join(opened, row_id, "left_semi").dropDuplicates([row_id]).unionByName(batch.filter(~names))

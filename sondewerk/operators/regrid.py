@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from sondewerk.util import floor_div, lookup_join
 
-#: Periods in a chunk, embedding window, rank and iterations of the imputation.
-CHUNK, WINDOW, RANK, ITERATIONS, TOLERANCE = 256, 24, 4, 25, 1e-4
+#: Periods in a chunk and periods of its neighbours that the imputation of a chunk looks at on either side.
+CHUNK, HALO = 256, 64
+#: Embedding window, rank, and change (in spreads) below which the imputation has converged.
+WINDOW, RANK, TOLERANCE = 24, 4, 1e-3
+#: Iterations after which a series counts as one that does not converge; its estimates are null.
+ITERATIONS = 2_000
 
 
 def ssa_impute(x: np.ndarray, window: int = WINDOW, rank: int = RANK, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -24,7 +28,8 @@ def ssa_impute(x: np.ndarray, window: int = WINDOW, rank: int = RANK, iterations
 
     The Hankel trajectory of a series is projected onto its leading singular vectors and averaged
     along the anti-diagonals; the missing entries take these values, until they move by less than
-    tolerance times the spread. Rows with fewer than two windows of readings stay as they are.
+    tolerance times the spread. Rows with fewer than two windows of readings stay as they are, and so
+    do rows that have not converged after so many iterations.
     """
     x = np.array(x, dtype=np.float64)
     known = np.isfinite(x)
@@ -54,7 +59,9 @@ def ssa_impute(x: np.ndarray, window: int = WINDOW, rank: int = RANK, iterations
         live = live[moved > tolerance]
         if not len(live):
             break
-    x[todo] = np.where(k, x[todo], z * spread[:, None] + mean[:, None])
+    filled = np.where(k, x[todo], z * spread[:, None] + mean[:, None])
+    filled[live] = x[todo[live]]
+    x[todo] = filled
     return x
 
 
@@ -62,6 +69,8 @@ _OUT = "src string, period bigint, readings bigint, value double, missing boolea
 
 
 def _fill(only_missing: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    width = CHUNK + 2 * HALO
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -69,23 +78,26 @@ def _fill(only_missing: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 src, chunk, first, last, cells = (c.column(j) for j in range(5))
                 m = c.num_rows
                 start = chunk.to_numpy(zero_copy_only=False) * CHUNK
-                n, s = np.zeros((m, CHUNK), np.int64), np.full((m, CHUNK), np.nan)
+                n, s = np.zeros((m, width), np.int64), np.full((m, width), np.nan)
                 size = cells.fill_null([]).value_lengths().to_numpy(zero_copy_only=False) if cells.null_count else cells.value_lengths().to_numpy(zero_copy_only=False)
                 flat = cells.flatten()
                 row = np.repeat(np.arange(m), size)
-                pos = flat.field("pos").to_numpy(zero_copy_only=False)
+                pos = flat.field("pos").to_numpy(zero_copy_only=False) + HALO
                 n[row, pos] = flat.field("n").to_numpy(zero_copy_only=False)
                 s[row, pos] = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
+                own = slice(HALO, HALO + CHUNK)
                 period = start[:, None] + np.arange(CHUNK)
                 inside = (period >= first.to_numpy(zero_copy_only=False)[:, None]) & (period <= last.to_numpy(zero_copy_only=False)[:, None])
-                gappy = (inside & (n == 0)).any(axis=1)
+                gone = inside & (n[:, own] == 0)
                 est = s.copy()
-                if gappy.any():
+                if gone.any():
+                    gappy = gone.any(axis=1)
                     est[gappy] = ssa_impute(s[gappy])
-                r, p = np.nonzero(inside & (n == 0) if only_missing else inside)
-                gone = n[r, p] == 0
+                n, s, est = n[:, own], s[:, own], est[:, own]
+                r, p = np.nonzero(gone if only_missing else inside)
+                lost = n[r, p] == 0
                 yield pa.record_batch(
-                    [src.take(pa.array(r)), pa.array(period[r, p]), pa.array(n[r, p]), pa.array(s[r, p], from_pandas=True), pa.array(gone), pa.array(np.where(gone, est[r, p], np.nan), from_pandas=True)],
+                    [src.take(pa.array(r)), pa.array(period[r, p]), pa.array(n[r, p]), pa.array(s[r, p], from_pandas=True), pa.array(lost), pa.array(np.where(lost, est[r, p], np.nan), from_pandas=True)],
                     names=["src", "period", "readings", "value", "missing", "estimate"],
                 )
 
@@ -97,7 +109,8 @@ def regular_series(readings: DataFrame, src: str, time_us: str, length_us: Colum
 
     Periods start at multiples of their length since 1970. value: mean of the readings of the
     period, null in a period without any (missing) or with null values only. estimate: the imputed value of a
-    missing period, null where too few readings stand around it. Rows with null source, time or
+    missing period, null where fewer than two windows of readings stand in its chunk and HALO periods around, or
+    where the imputation does not converge. Rows with null source, time or
     length are no readings; a source with one reading has one period; an empty table gives none.
 
     Readings are combined per period map-side, then gathered in chunks of CHUNK periods, so a hot
@@ -109,8 +122,12 @@ def regular_series(readings: DataFrame, src: str, time_us: str, length_us: Colum
     period = F.call_function("div", F.col("t") - F.pmod("t", "len"), F.col("len"))
     cells = rows.groupBy("src", "len", period.alias("period")).agg(F.count("*").alias("n"), F.avg("v").alias("value"))
     chunk = floor_div(F.col("period"), CHUNK)
-    parts = cells.groupBy("src", "len", chunk.alias("chunk")).agg(F.min("period").alias("a"), F.max("period").alias("b"), F.collect_list(F.struct((F.col("period") - chunk * CHUNK).cast("int").alias("pos"), "n", "value")).alias("cells"))
-    ends = parts.groupBy("src", "len").agg(F.min("a").alias("first"), F.max("b").alias("last"))
+    # a reading near a border goes to the neighbouring chunk, too
+    place = F.col("period") - chunk * CHUNK
+    homes = F.array_compact(F.array(chunk, F.when(place < HALO, chunk - 1), F.when(place >= CHUNK - HALO, chunk + 1)))
+    spread = cells.withColumn("chunk", F.explode(homes))
+    parts = spread.groupBy("src", "len", "chunk").agg(F.collect_list(F.struct((F.col("period") - F.col("chunk") * CHUNK).cast("int").alias("pos"), "n", "value")).alias("cells"))
+    ends = cells.groupBy("src", "len").agg(F.min("period").alias("first"), F.max("period").alias("last"))
     grid = ends.withColumn("chunk", F.explode(F.sequence(floor_div(F.col("first"), CHUNK), floor_div(F.col("last"), CHUNK))))
     whole = grid.join(parts.select("src", "len", "chunk", "cells"), ["src", "len", "chunk"], "left")
     named = whole.select(F.concat_ws(",", "src", F.col("len").cast("string")).alias("src"), "chunk", "first", "last", "cells")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondewerk.operators import anomaly, dedup, regrid
+from sondewerk.util import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_levels, p4_found)}
+def p4_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every period of every source: readings, whether it is missing, whether it could be estimated, never both a value and an estimate."""
+    frames = regrid.frame_series(table(spark, sf_dir, "frames"), table(spark, sf_dir, "nodes"))
+    polls = regrid.poll_series(table(spark, sf_dir, "geomag_watch"))
+    named = [df.select(F.lit(t).alias("tbl"), "src", "period_us", "readings", "missing", "value", "estimate") for t, df in (("frames", frames), ("geomag_watch", polls))]
+    return named[0].unionByName(named[1])
+
+
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: periods, missing ones, readings, and periods that are both read and estimated (none)."""
+    s = p4_series(spark, sf_dir)
+    mixed = F.count_if(F.col("estimate").isNotNull() & ~F.col("missing"))
+    return s.groupBy("tbl", "src").agg(F.count("*").alias("periods"), F.count_if("missing").alias("missing"), F.sum("readings").alias("readings"), mixed.alias("mixed"))
+
+
+def p1_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries kept when the later half of the batches comes to the stored messages of the earlier half."""
+    frames = table(spark, sf_dir, "frames")
+    half = frames.agg(F.expr("(min(batch_id) + max(batch_id)) div 2").alias("b")).first()["b"]
+    if half is None:
+        return frames.select("delivery_id").limit(0)
+    stored = materialize(dedup.kept(frames.filter(F.col("batch_id") <= half)))
+    late = dedup.admit(frames.filter(F.col("batch_id") > half).select("delivery_id", "node_id", "seq", "ts_us", "received_at"), stored)
+    named = late.filter("delivery_id is not null and node_id is not null and seq is not null and ts_us is not null")
+    return stored.select(F.col("kept_id").alias("delivery_id")).unionByName(named.select("delivery_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_admitted, p3_found, p3_levels, p4_found, p4_series, p4_sources)}
 
 _MESSAGES = """
 with d as (select *, ts_us - lag(ts_us) over (partition by node_id, seq order by ts_us, delivery_id) as gap
@@ -88,4 +116,18 @@ a as (select 'frames' as tbl, src, len, p from r union select 'geomag_watch', sr
 e as (select tbl, src, len, min(p) as a, max(p) as b from a group by all),
 s as (select tbl, src, unnest(range(a, b, len)) as period_us from e)
 select s.tbl, s.src, s.period_us from s anti join a on a.tbl = s.tbl and a.src = s.src and a.p = s.period_us""",
+    "p4_sources": """
+with r as (select node_id::varchar as src, grid_s * 1000000::bigint as len, (ts_us - ts_us % (grid_s * 1000000::bigint)) as p
+           from frames join nodes using (node_id) where ts_us >= 1577836800000000),
+g as (select watcher as src, 3600000000::bigint as len, epoch_us(try_cast(utc as timestamptz)) as t from geomag_watch where utc is not null and latest is not null),
+a as (select 'frames' as tbl, src, len, p from r union all select 'geomag_watch', src, len, t - t % len from g where t is not null and src is not null)
+select tbl, src, (max(p) - min(p)) // any_value(len) + 1 as periods, (max(p) - min(p)) // any_value(len) + 1 - count(distinct p) as missing, count(*) as readings, 0 as mixed from a group by 1, 2""",
+    "p1_admitted": """
+with b as (select (min(batch_id) + max(batch_id)) // 2 as half from frames),
+d as (select f.*, f.batch_id <= b.half as early from frames f, b where node_id is not null and seq is not null and ts_us is not null and batch_id is not null),
+e as (select *, ts_us - lag(ts_us) over (partition by node_id, seq, early order by ts_us, delivery_id) as gap, ts_us - lag(ts_us) over (partition by node_id, seq order by ts_us, delivery_id) as gap_all from d),
+m as (select *, sum((gap is null or gap > 2000000)::int) over (partition by node_id, seq, early order by ts_us, delivery_id rows unbounded preceding) as msg,
+             sum((gap_all is null or gap_all > 2000000)::int) over (partition by node_id, seq order by ts_us, delivery_id rows unbounded preceding) as whole from e),
+r as (select *, row_number() over (partition by node_id, seq, early, msg order by received_at nulls last, delivery_id) as rn, bool_or(early) over (partition by node_id, seq, whole) as known from m)
+select delivery_id from r where rn = 1 and (early or not known)""",
 }

@@ -69,3 +69,10 @@ def test_batches_against_stored_messages_equal_one_pass(spark):
     new = dedup.admit(second, stored)
     whole = {r[0] for r in rows(dedup.kept(table(spark, data)).select("kept_id"))}
     assert {r.kept_id for r in stored.collect()} | {r.delivery_id for r in new.select("delivery_id").collect()} == whole
+
+
+def test_a_late_chain_belongs_to_the_stored_message(spark):
+    stored = dedup.kept(table(spark, [(1, 1, 1, -2_000_000, T0)]))
+    late = table(spark, [(11, 1, 1, 2_000_000, T0), (12, 1, 1, 0, T0 + timedelta(1)), (13, 1, 1, 4_000_001, T0), (14, None, 1, 0, T0), (15, 2, 1, 0, T0), (15, 2, 1, 0, T0)])
+    assert sorted(r.delivery_id for r in dedup.admit(late, stored).collect()) == [13, 14, 15]
+    assert rows(dedup.admit(late.limit(0), stored)) == [] and dedup.admit(late, stored.limit(0)).count() == 4

@@ -11,7 +11,7 @@ def test_imputation_restores_a_periodic_series():
     rng = np.random.default_rng(0)
     gone = rng.random(x.shape) < 0.15
     hole[gone] = np.nan
-    got = regrid.ssa_impute(hole, iterations=60)
+    got = regrid.ssa_impute(hole)
     assert np.abs(got - x).max() < 0.2
     assert (got[~gone] == hole[~gone]).all()
     empty = np.full((1, 256), np.nan)
@@ -48,6 +48,19 @@ def test_periods_against_brute_force(spark):
     assert rows(regrid.regular_series(df.limit(0), "src", "t", "len", "value")) == []
 
 
+def test_imputation_runs_until_it_converges_and_over_borders(spark):
+    t = np.arange(256)
+    x = np.sin(t / 6)[None, :]
+    hole = x.copy()
+    hole[0, 100:130] = np.nan
+    assert np.isnan(regrid.ssa_impute(hole, iterations=3)[0, 110])  # not converged: no estimate
+    assert np.isfinite(regrid.ssa_impute(hole)).all()
+    # a gap across the border of two chunks, with too few readings in the first one alone
+    data = [("s", p * 1000, 1000, float(np.sin(p / 6))) for p in range(230, 512) if not 250 <= p < 260]
+    got = regrid.regular_series(spark.createDataFrame(data, "src string, t bigint, len bigint, v double"), "src", "t", "len", "v").filter("missing").collect()
+    assert len(got) == 10 and max(abs(r.estimate - np.sin(r.period_us / 6000)) for r in got) < 0.2
+
+
 def test_polls_read_every_form_of_time(spark):
     data = [(1, "w", u, ("x", 2.0)) for u in ("2025-01-01T00:10:00Z", "2025-01-01T03:10:00+02:00", "2025-01-01T03:10:00.250Z", "20250101T051000Z", None, "junk")] + [(2, None, "2025-01-01T09:00:00Z", ("x", 1.0)), (3, "w", "2025-01-01T09:00:00Z", None)]
     df = spark.createDataFrame(data, "poll_id int, watcher string, utc string, latest struct<time_tag: string, kp: double>")
