@@ -19,50 +19,87 @@ from sondewerk.util import floor_div, lookup_join
 CHUNK, HALO = 256, 64
 #: Embedding window, rank, and change (in spreads) below which the imputation has converged.
 WINDOW, RANK, TOLERANCE = 24, 4, 1e-3
+#: Steps that the acceleration of the iteration looks back on, and the step in which spans of readings are cut.
+MEMORY, SPAN = 5, 128
+#: Steps after which a series keeps its singular vectors.
+FREEZE = 100
 #: Iterations after which a series counts as one that does not converge; its estimates are null.
 ITERATIONS = 2_000
 
 
+def _projected(z: np.ndarray, window: int, rank: int, weight: np.ndarray, u: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's Hankel trajectory projected onto its leading singular vectors (or those given), averaged along the anti-diagonals; and the vectors."""
+    cols = z.shape[1] - window + 1
+    h = np.lib.stride_tricks.sliding_window_view(z, cols, axis=1)
+    if u is None:
+        u = np.linalg.eigh(h @ h.transpose(0, 2, 1))[1][:, :, -rank:]
+    low = u @ (u.transpose(0, 2, 1) @ h)
+    back = np.zeros_like(z)
+    for i in range(window):
+        back[:, i : i + cols] += low[:, i]
+    return back / weight, u
+
+
 def ssa_impute(x: np.ndarray, window: int = WINDOW, rank: int = RANK, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Fill the NaN of each row of x (series x time).
+    """Fill the NaN of each row of x (series x time), from its first to its last reading and a little beyond.
 
     The Hankel trajectory of a series is projected onto its leading singular vectors and averaged
     along the anti-diagonals; the missing entries take these values, until they move by less than
-    tolerance times the spread. Rows with fewer than two windows of readings stay as they are, and so
-    do rows that have not converged after so many iterations.
+    tolerance times the spread. Steps are combined over the last few, which converges much sooner, and
+    after FREEZE of them a series keeps its singular vectors, as they may change places without end.
+    Rows with fewer than two windows of readings stay as they are, and so do rows that have not
+    converged after so many iterations.
     """
     x = np.array(x, dtype=np.float64)
     known = np.isfinite(x)
     n = x.shape[1]
-    todo = np.flatnonzero((known.sum(1) >= min(2 * window, n)) & ~known.all(1)) if n > window else np.array([], int)
-    if not len(todo):
-        return x
-    k = known[todo]
+    # rows are cut to the span of their readings, in whole steps, and rows of one span go together
+    first, last = known.argmax(1) // SPAN * SPAN, np.minimum(-(-(n - known[:, ::-1].argmax(1)) // SPAN) * SPAN, n)
+    todo = (known.sum(1) >= min(2 * window, n)) & ~known.all(1) & (last - first > window)
+    for lo, hi in np.unique(np.stack([first, last], 1)[todo], axis=0):
+        rows = np.flatnonzero(todo & (first == lo) & (last == hi))
+        x[rows, lo:hi] = _impute(x[rows, lo:hi], window, rank, iterations, tolerance)
+    return x
+
+
+def _impute(x: np.ndarray, window: int, rank: int, iterations: int, tolerance: float) -> np.ndarray:
+    k = np.isfinite(x)
     count = k.sum(1)
-    mean = np.where(k, x[todo], 0).sum(1) / count
-    spread = np.sqrt(np.where(k, (x[todo] - mean[:, None]) ** 2, 0).sum(1) / count) + 1e-12
-    z = np.where(k, (x[todo] - mean[:, None]) / spread[:, None], 0.0)
-    cols = n - window + 1
-    weight = np.convolve(np.ones(window), np.ones(cols))
-    live = np.arange(len(todo))
-    for _ in range(iterations):
-        h = np.lib.stride_tricks.sliding_window_view(z[live], cols, axis=1)
-        _, vectors = np.linalg.eigh(h @ h.transpose(0, 2, 1))
-        u = vectors[:, :, -rank:]
-        low = u @ (u.transpose(0, 2, 1) @ h)
-        back = np.zeros((len(live), n))
-        for i in range(window):
-            back[:, i : i + cols] += low[:, i]
-        new = np.where(k[live], z[live], back / weight)
-        moved = np.abs(new - z[live]).max(axis=1)
-        z[live] = new
-        live = live[moved > tolerance]
+    mean = np.where(k, x, 0).sum(1) / count
+    spread = np.sqrt(np.where(k, (x - mean[:, None]) ** 2, 0).sum(1) / count) + 1e-12
+    z = np.where(k, (x - mean[:, None]) / spread[:, None], 0.0)
+    weight = np.convolve(np.ones(window), np.ones(x.shape[1] - window + 1))
+    live = np.arange(len(x))
+    steps: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+    least = np.full(len(x), np.inf)
+    u = None
+    for i in range(iterations):
+        back, vectors = _projected(z[live], window, rank, weight, u)
+        u = vectors if i >= FREEZE else None
+        end = np.where(k[live], z[live], back)
+        step = end - z[live]
+        open_ = np.abs(step).max(axis=1) > tolerance
+        # a series that moves more than twice as much as it did already forgets its last steps
+        size = np.linalg.norm(step, axis=1)
+        astray = (size > 2 * least[live])[:, None]
+        least[live] = np.minimum(least[live], size)
+        steps, ends = [*[np.where(astray, step, v) for v in steps], step][-MEMORY - 1 :], [*[np.where(astray, end, v) for v in ends], end][-MEMORY - 1 :]
+        new = end
+        if len(steps) > 1:
+            # Anderson acceleration: the combination of the last steps that is nearest to standing still
+            ds, de = np.diff(np.stack(steps, 1), axis=1), np.diff(np.stack(ends, 1), axis=1)
+            a = ds @ ds.transpose(0, 2, 1)
+            a += np.eye(a.shape[1]) * (1e-10 * np.trace(a, axis1=1, axis2=2)[:, None, None] + 1e-30)
+            new = end - (de.transpose(0, 2, 1) @ np.linalg.solve(a, ds @ step[:, :, None]))[:, :, 0]
+        z[live] = np.where(open_[:, None], new, end)
+        u = None if u is None else u[open_]
+        live, steps, ends = live[open_], [v[open_] for v in steps], [v[open_] for v in ends]
         if not len(live):
             break
-    filled = np.where(k, x[todo], z * spread[:, None] + mean[:, None])
-    filled[live] = x[todo[live]]
-    x[todo] = filled
-    return x
+    out = np.where(k, x, z * spread[:, None] + mean[:, None])
+    out[live] = x[live]
+    return out
 
 
 _OUT = "src string, period bigint, readings bigint, value double, missing boolean, estimate double"
@@ -109,7 +146,7 @@ def regular_series(readings: DataFrame, src: str, time_us: str, length_us: Colum
 
     Periods start at multiples of their length since 1970. value: mean of the readings of the
     period, null in a period without any (missing) or with null values only. estimate: the imputed value of a
-    missing period, null where fewer than two windows of readings stand in its chunk and HALO periods around, or
+    missing period, null where fewer than two windows of readings stand in its chunk and HALO periods around or it lies outside their span, or
     where the imputation does not converge. Rows with null source, time or
     length are no readings; a source with one reading has one period; an empty table gives none.
 
