@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -198,12 +199,22 @@ def jaccard_stability(selections: Sequence[set]) -> float:
     return float(np.mean([len(a & b) / max(len(a | b), 1) for a, b in pairs])) if pairs else 1.0
 
 
-def permutation_floor(labels: Sequence, draws: int) -> dict[str, float]:
-    """The smallest p a group-label permutation test of this design can be expected to report."""
+class SmallestP(NamedTuple):
+    by_draws: float
+    by_design: float
+    expected: float
+
+
+def smallest_p(labels: Sequence, draws: int) -> SmallestP:
+    """The least p that a permutation of these group labels can report: for so many draws, for the design, and on average.
+
+    A random order of the labels gives the observed partition, up to the names of the labels, with the
+    chance k! n1! ... nk! / n!, and then cannot fall behind what was observed.
+    """
     counts = list(Counter(labels).values())
-    distinct = math.factorial(sum(counts)) // math.prod(math.factorial(c) for c in counts)
-    same = math.factorial(len(counts))
-    return {"groups": sum(counts), "distinct_assignments": distinct, "label_symmetries": same, "sampling_floor": 1 / (draws + 1), "expected_floor": (1 + draws * min(same / distinct, 1.0)) / (draws + 1), "permutations": draws}
+    log = math.lgamma(len(counts) + 1) + sum(math.lgamma(c + 1) for c in counts) - math.lgamma(sum(counts) + 1)
+    again = math.exp(min(log, 0.0))
+    return SmallestP(1 / (1 + draws), again, (1 + again * draws) / (1 + draws))
 
 
 def transfer_rate(domains: DataFrame, name: str, direction: str) -> DataFrame:

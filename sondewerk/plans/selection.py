@@ -59,15 +59,15 @@ def window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def composer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw view under every statistic."""
-    exprs = [composer.scalar("raw", 0, "full", s) for s in composer.STATS]
-    f = frames.map_series(whole_windows(spark, sf_dir), ["window_id"], "x", lambda x: np.stack([composer.evaluate(e, x) for e in exprs], axis=1), list(composer.STATS))
+    exprs = [composer.Measure("raw", 0, "full", s) for s in composer.STATS]
+    f = frames.map_series(whole_windows(spark, sf_dir), ["window_id"], "x", lambda x: composer.table(x, exprs), list(composer.STATS))
     return f.select("window_id", *[F.round(s, 6).alias(s) for s in composer.STATS])
 
 
 def composer_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deviation of every view at every scale."""
-    exprs = [composer.scalar(v, 0, s, "std") for v in composer.VIEWS for s in composer.SCALES]
-    return frames.map_series(whole_windows(spark, sf_dir), ["window_id"], "x", lambda x: np.stack([composer.evaluate(e, x) for e in exprs], axis=1), [f"{v}_{s}" for v in composer.VIEWS for s in composer.SCALES])
+    exprs = [composer.Measure(v, 0, s, "std") for v in composer.VIEWS for s in composer.SCALES]
+    return frames.map_series(whole_windows(spark, sf_dir), ["window_id"], "x", lambda x: composer.table(x, exprs), [f"{v}_{s}" for v in composer.VIEWS for s in composer.SCALES])
 
 
 def distill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

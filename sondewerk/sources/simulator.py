@@ -3,79 +3,105 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Sensor classes (fixed codes) and their usual rates.
+# The codes of the sensor classes on the wire.
 CLASSES = {"acoustic": 0, "vibration": 1, "optical": 2, "rf": 3, "thermal": 4, "tribo": 5, "magnetic": 6, "capacitive": 7, "unknown": 255}
-RATES = {"acoustic": 44_100, "vibration": 2_000, "optical": 5_000, "rf": 48_000, "thermal": 50, "tribo": 8_000, "magnetic": 4_000, "capacitive": 200}
+#: Range of a 12-bit converter.
+FULL_SCALE = (-2048, 2047)
+
+
+class Part(NamedTuple):
+    """A component of a signal; ranges are drawn from uniformly, once per frame (or per event)."""
+
+    shape: str
+    level: tuple[float, float]
+    #: Of tones and square waves in hertz, of decays the time constant in seconds, of chirps the end as a multiple of the start.
+    rate: tuple[float, float] = (0.0, 0.0)
+    #: Events per second for the shapes that are events.
+    often: float = 0.0
+
+
+#: Domains: sampling rate and what is heard, seen or felt there. A motor hums with an overtone, a rotor
+#: shakes and is struck, a lamp flickers, a carrier is modulated, an oven drifts, contacts spark, a coil
+#: switches, a touch plate steps.
+DOMAINS: dict[str, tuple[int, tuple[Part, ...]]] = {
+    "acoustic": (16_000, (Part("tone", (120, 380), (90, 2_400)), Part("tone", (30, 110), (2_400, 6_000)), Part("noise", (10, 24)))),
+    "vibration": (3_200, (Part("tone", (150, 520), (8, 60)), Part("ring", (200, 700), (0.004, 0.02), 4.0), Part("noise", (12, 28)))),
+    "optical": (4_000, (Part("offset", (150, 850)), Part("tone", (35, 90), (100, 120)), Part("spark", (250, 900), often=3.0), Part("noise", (5, 12)))),
+    "rf": (32_000, (Part("modulated", (250, 500), (3_000, 12_000)), Part("noise", (18, 36)))),
+    "thermal": (20, (Part("offset", (300, 700)), Part("ramp", (-400, 400)), Part("noise", (2, 6)))),
+    "tribo": (6_400, (Part("spark", (-1_800, -700), often=16.0), Part("spark", (700, 1_800), often=16.0), Part("noise", (7, 15)))),
+    "magnetic": (2_500, (Part("square", (350, 650), (12, 160)), Part("noise", (12, 26)))),
+    "capacitive": (100, (Part("offset", (80, 320)), Part("step", (150, 600), often=0.3), Part("step", (-600, -150), often=0.3), Part("noise", (4, 9)))),
+}
+RATES = {name: rate for name, (rate, _) in DOMAINS.items()}
+#: A fault is loud and harsh whatever the domain; an unknown sensor gives noise.
+FAULT = (12_000, (Part("tone", (900, 1_500), (700, 3_000)), Part("square", (500, 1_100), (30, 150)), Part("noise", (120, 260))))
+OTHER = (1_000, (Part("noise", (150, 250)),))
 
 
-def adc(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, -2048, 2047).astype(np.int16)
+def _part(part: Part, sr: int, n: int, rng: np.random.Generator) -> np.ndarray:
+    t = np.arange(n) / sr
+    level, rate, phase = rng.uniform(*part.level), rng.uniform(*part.rate), rng.uniform(0, 2 * np.pi)
+    angle = 2 * np.pi * rate * t + phase
+    if part.shape == "noise":
+        return level * rng.standard_normal(n)
+    if part.shape == "offset":
+        return np.full(n, level)
+    if part.shape == "ramp":
+        return level * t / t[-1]
+    if part.shape == "tone":
+        return level * np.sin(angle)
+    if part.shape == "square":
+        return level * np.sign(np.sin(angle) + 1e-9)
+    if part.shape == "modulated":
+        return level * np.sin(angle) * (1 + 0.6 * np.sin(angle / 40))
+    # events at random times: a response of each, added up
+    at = rng.integers(0, n, rng.poisson(part.often * n / sr))
+    since = np.arange(n)[None, :] - at[:, None]
+    levels = rng.uniform(*part.level, len(at))[:, None]
+    response = {
+        "spark": lambda d: (d >= 0) & (d < 2),
+        "step": lambda d: d >= 0,
+        "ring": lambda d: np.where(d >= 0, np.exp(-np.maximum(d, 0) / (sr * max(rate, 1e-6))), 0) * np.sin(d * 0.9),
+    }[part.shape]
+    return (levels * response(since)).sum(axis=0)
 
 
 def frame(kind: str, rng: np.random.Generator, n: int = 512) -> np.ndarray:
-    """One frame of a domain: its physics and its noise."""
-    sr = RATES.get(kind, 1000)
-    t = np.arange(n) / sr
-    wave = lambda f, a: a * np.sin(2 * np.pi * f * t)
-    noise = rng.standard_normal(n)
-    place = lambda: int(rng.integers(n))
-    if kind == "acoustic":
-        f, a = rng.uniform(200, 4000), rng.uniform(150, 450)
-        x = wave(f, a) + wave(2 * f, 0.3 * a) + 15 * noise
-    elif kind == "vibration":
-        f, a = rng.uniform(5, 80), rng.uniform(200, 600)
-        x = wave(f, a) + 20 * noise
-        if rng.random() < 0.4:
-            k = place() // 2
-            x[k:] += a * np.exp(-np.arange(n - k) / 40) * np.sin(2 * np.pi * 6 * f * t[k:])
-    elif kind == "optical":
-        x = rng.uniform(200, 900) + wave(rng.choice([100.0, 120.0]), 60) + 8 * noise
-        if rng.random() < 0.3:
-            x[place()] += rng.uniform(300, 800)
-    elif kind == "rf":
-        x = (1 + wave(rng.uniform(50, 400), 0.7)) * wave(rng.uniform(8000, 20000), 400) + 25 * noise
-    elif kind == "thermal":
-        x = 500 + rng.uniform(-2, 2) * np.arange(n) + wave(0.5, 30) + 4 * noise
-    elif kind == "tribo":
-        x = 10 * noise
-        for _ in range(rng.integers(1, 5)):
-            k = place()
-            x[k : k + 3] += rng.uniform(800, 1900) * rng.choice([-1, 1])
-    elif kind == "magnetic":
-        x = 500 * np.sign(wave(rng.uniform(10, 200), 1)) + 20 * noise
-    elif kind == "capacitive":
-        x = rng.uniform(100, 300) + 6 * noise
-        for _ in range(rng.integers(1, 4)):
-            x[place() :] += rng.uniform(200, 700) * rng.choice([-1, 1])
-    elif kind == "anomaly":
-        t = np.arange(n) / rng.choice([8000, 16000, 24000])
-        a = rng.uniform(1400, 1950)
-        x = wave(rng.uniform(900, 3500), a) + rng.uniform(0.6, 1) * a * np.sign(wave(rng.uniform(40, 130), 1)) + rng.uniform(150, 300) * noise
-    else:
-        x = 200 * noise
-    return adc(x)
+    """One frame of a domain ('anomaly': of a fault; any other name: noise), as the converter gives it."""
+    sr, parts = DOMAINS.get(kind, FAULT if kind == "anomaly" else OTHER)
+    total = sum(_part(p, sr, n, rng) for p in parts)
+    return np.rint(total).clip(*FULL_SCALE).astype(np.int16)
 
 
 def frames(spark: SparkSession, count: int = 200, anomaly_rate: float = 0.03, seed: int = 7, partitions: int | None = None) -> DataFrame:
-    """(node_id, seq, ts_us, sr_hz, sensor_class, label, payload): row i depends on seed and i only, at any partitioning."""
-    kinds = [k for k in CLASSES if k != "unknown"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node_id, seq, ts_us, sr_hz, sensor_class, label, payload): row i depends on seed and i only, at any partitioning.
+
+    What a row is comes from its number in the JVM; only payloads are made in Python.
+    """
+    names = list(DOMAINS)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(names) + 1).cast("int"))
+    odd = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_000)) < int(anomaly_rate * 1_000_000)
+    plan = spark.range(0, count, 1, partitions or max(1, min(200, count // 1000))).select(
+        "id", (F.col("id") % 8).alias("node_id"), F.floor(F.col("id") / 8).alias("seq"), (F.lit(1_735_689_600_000_000) + F.col("id") * 1_000_000).alias("ts_us"),
+        pick([RATES[k] for k in names]).cast("bigint").alias("sr_hz"), pick([CLASSES[k] for k in names]).alias("sensor_class"), F.when(odd, F.lit("ANOMALY")).otherwise(pick(names)).alias("label"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i in b["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                odd = rng.random() < anomaly_rate
-                kind = kinds[int(i) % len(kinds)]
-                rows.append((int(i) % 8, int(i) // 8, 1_735_689_600_000_000 + int(i) * 1_000_000, RATES[kind], CLASSES[kind], "ANOMALY" if odd else kind, frame("anomaly" if odd else kind, rng)))
-            yield pd.DataFrame(rows, columns=["node_id", "seq", "ts_us", "sr_hz", "sensor_class", "label", "payload"])
-
-    return spark.range(0, count, 1, partitions or max(1, min(200, count // 1000))).mapInPandas(run, "node_id bigint, seq bigint, ts_us bigint, sr_hz bigint, sensor_class int, label string, payload array<smallint>")
+            kinds = ["anomaly" if k == "ANOMALY" else k for k in b.column(6).to_pylist()]
+            made = [frame(k, np.random.default_rng([seed, i])) for i, k in zip(b.column(0).to_pylist(), kinds)]
+            yield pa.record_batch([*b.columns[1:], pa.array(made, pa.list_(pa.int16()))], names=[*b.schema.names[1:], "payload"])
+
+    return plan.mapInArrow(run, "node_id bigint, seq bigint, ts_us bigint, sr_hz bigint, sensor_class int, label string, payload array<smallint>")
 
 
 def ar1(phi: float, n: int, rng: np.random.Generator, burn: int = 1000) -> np.ndarray:

@@ -64,8 +64,8 @@ def test_small_exact_tests():
     assert math.isclose(inference.fisher_exact(3, 0, 0, 3), 1 / 20)
     assert inference.kendall_tau([1, 2, 3]) == 1 and inference.kendall_tau([3, 2, 1]) == -1
     assert inference.jaccard_stability([{1, 2}, {2, 3}]) == 1 / 3 and inference.predicted_auc(1.0) == 0.5
-    floor = inference.permutation_floor(["a"] * 3 + ["b"] * 3, 50)
-    assert floor["distinct_assignments"] == 20 and math.isclose(floor["expected_floor"], 6 / 51)
+    least = inference.smallest_p(["a"] * 3 + ["b"] * 3, 50)
+    assert math.isclose(least.by_design, 2 / 20) and math.isclose(least.expected, 6 / 51)
 
 
 def test_fan_out(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondewerk.functions import learners
-from sondewerk.operators import coupling, detector, vectors, watch
+from sondewerk.operators import coupling, detector, inference, vectors, watch
 from sondewerk.plans import distill, receipts, registry
 from sondewerk.sources import simulator
 from tests.conftest import rows
@@ -171,8 +171,9 @@ def test_learners_and_folds():
     assert np.mean(list(learners.logo(x[:, :2], noise, g, learners.Logistic).values())) < 0.75
     folds = learners.group_folds(g, 4)
     assert sum(f.sum() for f in folds) == len(g) and all(len(set(g[f]) & set(g[~f])) == 0 for f in folds)
-    a, b, ok = learners.split_groups(g, y, 0)
-    assert ok and not set(a) & set(b) and len(a) + len(b) == 16
+    plan = learners.discovery_split(learners.group_labels(g, y), 0)
+    assert plan.usable and len(plan.discovery) == 10 and sorted([*plan.discovery, *plan.replication]) == list(range(16))
+    assert inference.smallest_p(["a", "a", "b", "b"], 9) == (0.1, pytest.approx(1 / 3), pytest.approx(0.4))
     c = learners.kmeans(x[:, [2]], 2)
     assert learners.adjusted_rand(c, (y == "a").astype(int)) > 0.4 and learners.silhouette(x[:40, [2]], c[:40]) > 0.2
 

@@ -108,15 +108,23 @@ def test_composer_finds_a_planted_scale():
     y = np.where(g % 2, "a", "b")
     x = rng.standard_normal((96, 2, 64))
     x[:, 1] *= np.where(y == "a", 2.0, 0.5)[:, None]
-    e = composer.scalar("raw", 1, "full", "std")
-    np.testing.assert_allclose(composer.evaluate(e, x), x[:, 1].std(axis=1))
-    assert composer.null_kind(composer.Expr("ratio", (e, e))) == "channel" and composer.null_kind(composer.scalar("diff", 0, "full", "std")) == "shuffle"
+    e = composer.Measure("raw", 1, "full", "std")
+    np.testing.assert_allclose(composer.table(x, [e])[:, 0], x[:, 1].std(axis=1))
+    assert composer.null_kind(composer.Relation("ratio", e, e)) == "channel" and composer.null_kind(composer.Measure("diff", 0, "full", "std")) == "shuffle"
     out = composer.compose(x, y, g, budget=12, draws=40)
     assert out["discovery"]["accuracy"] > 0.9
     c = composer.candidates(2, 30)
-    assert len(c) == 30 and [q.cost() for q in c] == sorted(q.cost() for q in c) and len({q.digest() for q in c}) == 30
+    assert len(c) == 30 and [composer.cost(q) for q in c] == sorted(composer.cost(q) for q in c) and len({composer.digest(q) for q in c}) == 30
     flat = composer.score(e, x, y, g, draws=10)
-    assert flat["floor"]["sampling_floor"] == 1 / 11 and composer.verdict(flat) == "inconclusive"
+    assert flat["smallest_p"].by_draws == 1 / 11 and composer.verdict(flat) == "inconclusive"
+    with pytest.raises(ValueError):
+        composer.score(e, x, np.where(np.arange(96) % 2, "a", "b"), g, draws=2)
+    v = x[:, 0, 32:]
+    relation = composer.Relation("ratio", composer.Measure("envelope", 0, "medium", "iqr"), composer.Measure("lag", 1, "short", "meanabs"))
+    smooth = np.stack([np.convolve(np.abs(r), [0.5, 0.5], "valid") for r in v])
+    lagged = x[:, 1, 48:][:, 8:] - x[:, 1, 48:][:, :-8]
+    np.testing.assert_allclose(composer.table(x, [relation])[:, 0], np.subtract(*np.quantile(smooth, [0.9, 0.1], axis=1)) / (np.abs(lagged).mean(axis=1) + 1e-12))
+    assert composer.canonical(e) == '{"args":[{"args":[],"op":"view","params":["raw",1,"full"]}],"op":"stat","params":["std"]}'
 
 
 def test_detrended_and_pooled_columns(spark, data):
