@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from sondewerk.util import lookup_join, numbered, prefix_sums
 
 
-def _by(keys: Sequence[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-
-
 def auc(df: DataFrame, score: str, positive: str | Column, keys: Sequence[str] = (), out: str = "auc") -> DataFrame:
     """keys, n_pos, n_neg, auc: Mann-Whitney AUC with tie-averaged ranks; null where a class is missing.
 
@@ -107,7 +103,7 @@ def permutation_p(df: DataFrame, unit: str, value: str, positive: str, draws: in
     stat = lambda y: F.sum(y * F.col("__v")) / F.sum(y) - F.sum((1 - y) * F.col("__v")) / F.sum(1 - y)
     seen = base.agg(stat(F.col("__y")).alias("observed"), F.sum("__y").alias("__k"))
     many = base.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__u", hash_uniform(seed, F.col("__b"), F.col(unit)))
-    ranked = many.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__u", unit))).crossJoin(F.broadcast(seen))
+    ranked = numbered(many, ["__b"], ["__u", unit], "__r").withColumn("__r", F.col("__r") + 1).crossJoin(F.broadcast(seen))  # seen is one row
     null = ranked.groupBy("__b").agg(stat((F.col("__r") <= F.col("__k")).cast("int")).alias("__s"), F.first("observed").alias("observed"))
     return null.agg(F.first("observed").alias("observed"), F.sum((F.abs("__s") >= F.abs("observed") - 1e-12).cast("bigint")).alias("hits")).withColumn("p", (F.col("hits") + 1) / (draws + 1))
 
@@ -121,20 +117,27 @@ def holm(df: DataFrame, p: str, tie: str, alpha: float = 0.05) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, rho: correlation of tie-averaged ranks."""
-    w = _by(keys)
-    ranked = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    for c, r in ((a, "__ra"), (b, "__rb")):
-        ranked = ranked.withColumn(r, F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy(*(keys or [F.lit(0)]), c)) - 1) / 2)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("rho"))
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    for c in ("__a", "__b"):
+        # the rank of a value follows from the counts of the distinct values up to it
+        counts = prefix_sums(rows.groupBy(*keys, c).agg(F.count("*").alias("__n")), keys, [c], {"__upto": F.col("__n")})
+        ranks = counts.select(*keys, c, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(f"__r{c}"))
+        rows = lookup_join(rows, ranks, [*keys, c])
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__r__a", "__r__b").alias("rho"))
 
 
 def fuse_rankings(df: DataFrame, voter: str, item: str, score: str) -> DataFrame:
-    """item, best, total, place: items by their best rank over the voters, then by the sum of ranks; a voter that lacks an item ranks it last."""
-    ranks = df.withColumn("__r", F.row_number().over(Window.partitionBy(voter).orderBy(F.desc(score), item)) - 1)
-    last = df.groupBy(voter).agg(F.count("*").alias("__n"))
-    full = df.select(item).distinct().crossJoin(F.broadcast(last)).join(ranks.select(voter, item, "__r"), [voter, item], "left").withColumn("__r", F.coalesce("__r", "__n"))
-    fused = full.groupBy(item).agg(F.min("__r").cast("bigint").alias("best"), F.sum("__r").cast("bigint").alias("total"))
-    return fused.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("best", "total", item)))
+    """item, best, total, place: items by their best rank over the voters, then by the sum of ranks; a voter that lacks an item ranks it last. Voters are few."""
+    ordered = df.select(F.col(voter).alias("__voter"), F.col(item).alias("item"), F.col(score).isNull().alias("__none"), (-F.col(score)).alias("__score"))
+    ranks = numbered(ordered, ["__voter"], ["__none", "__score", "item"], "__r")
+    last = df.groupBy(F.col(voter).alias("__voter")).agg(F.count("*").alias("__n"))
+    # what a voter that lacks the item gives: all such places, less those of the voters that have it
+    every = last.agg(F.sum("__n").alias("__all"), F.sort_array(F.collect_list(F.struct("__n", "__voter"))).alias("__places"))
+    had = lookup_join(ranks, last, ["__voter"]).groupBy("item").agg(F.min("__r").alias("__best"), F.sum(F.col("__r") - F.col("__n")).alias("__less"), F.collect_set("__voter").alias("__by"))
+    full = had.crossJoin(F.broadcast(every))  # every is one row
+    lacking = F.filter("__places", lambda p: ~F.array_contains("__by", p["__voter"]))
+    fused = full.select(F.col("item").alias(item), F.least("__best", F.get(lacking, F.lit(0))["__n"]).cast("bigint").alias("best"), (F.col("__all") + F.col("__less")).cast("bigint").alias("total"))
+    return numbered(fused, [], ["best", "total", item], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def alarm_gap(df: DataFrame, score: str, positive: str, threshold: float) -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reference vectors broadcast to the tasks at most; a larger set is compared in blocks of this size.
-BLOCK = 20_000
+#: Queries and reference vectors that a task compares at once.
+QUERIES, BLOCK = 16_384, 16_384
 
 
 def point_id(node_id: Column, seq: Column) -> Column:
@@ -48,37 +48,34 @@ def unit_rows(column: pa.Array) -> np.ndarray:
 def novelty(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 5, same_above: float | None = None) -> DataFrame:
     """key, novelty: one minus the mean cosine similarity to the k nearest reference vectors; 1 without any.
 
-    Vectors are of equal length and not zero. same_above: similarities above it are taken for the
-    point itself and passed over. The reference set is compared in blocks of bounded size, the best k
-    of each block merged by key: never all pairs at once, never an unbounded broadcast.
+    Vectors are of equal length and not zero; repeated keys count once each. same_above: similarities above
+    it are taken for the point itself and passed over. A task compares a block of queries with a block of the
+    reference set and hands on the best k of each query, which are merged by key: the reference set is
+    repeated once per QUERIES queries, and neither is broadcast or collected.
     """
-    ref = reference.select(F.col(vector).alias("__v"), F.xxhash64(key).alias("__h"))
-    blocks = max(1, -(-reference.count() // BLOCK))
-    parts = None
-    for i in range(blocks):
-        block = ref.filter(F.pmod("__h", F.lit(blocks)) == i).select("__v").toPandas()["__v"]
-        if not len(block):
-            continue
-        base = np.stack(block.to_numpy()).astype(float)
-        base /= np.maximum(np.linalg.norm(base, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch], base: np.ndarray = base) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for a in range(0, whole.num_rows, 1024):
-                    b = whole.slice(a, 1024)
-                    s = unit_rows(b.column(1)) @ base.T
-                    if same_above is not None:
-                        s[s > same_above] = -np.inf
-                    m = min(k, s.shape[1])
-                    top = -np.partition(-s, m - 1, axis=1)[:, :m]
-                    yield pa.record_batch([b.column(0), pa.array(list(top), pa.list_(pa.float64()))], names=[key, "sims"])
-
-        got = queries.select(key, vector).mapInArrow(run, f"`{key}` {queries.schema[key].dataType.simpleString()}, sims array<double>")
-        parts = got if parts is None else parts.unionByName(got)
-    if parts is None:
-        return queries.select(key, F.lit(1.0).alias("novelty"))
-    best = parts.groupBy(key).agg(F.slice(F.sort_array(F.filter(F.flatten(F.collect_list("sims")), lambda s: s > -2.0), asc=False), 1, k).alias("s"))
-    return best.select(key, F.when(F.size("s") > 0, 1 - F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.size("s")).otherwise(1.0).alias("novelty"))
+    rows, columns = (-(-df.count() // size) or 1 for df, size in ((queries, QUERIES), (reference, BLOCK)))
+    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col(key).alias("k"), F.col(vector).alias("v"), part(rows).alias("i"), every(columns).alias("j"))
+    base = reference.select(F.col(vector).alias("v"), part(columns).alias("j"), every(rows).alias("i"))
+    kind = queries.schema[key].dataType.simpleString()
+
+    def run(few: pa.Table, many: pa.Table) -> pa.Table:
+        few = few.combine_chunks()
+        ref = unit_rows(many["v"].combine_chunks()) if many.num_rows else np.empty((0, 0))
+        tops = []
+        for a in range(0, few.num_rows, 512):
+            part = few["v"].slice(a, 512).combine_chunks()
+            s = unit_rows(part) @ ref.T if len(ref) else np.empty((len(part), 0))
+            if same_above is not None:
+                s[s > same_above] = -np.inf
+            m = min(k, s.shape[1])
+            tops += list(-np.partition(-s, m - 1, axis=1)[:, :m] if m else s)
+        return pa.table({"k": few["k"], "sims": pa.array(tops, pa.list_(pa.float64()))})
+
+    parts = asked.groupBy("i", "j").cogroup(base.groupBy("i", "j")).applyInArrow(run, f"k {kind}, sims array<double>")
+    best = parts.groupBy("k").agg(F.slice(F.sort_array(F.filter(F.flatten(F.collect_list("sims")), lambda s: s > -2.0), asc=False), 1, k).alias("s"))
+    return best.select(F.col("k").alias(key), F.when(F.size("s") > 0, 1 - F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.size("s")).otherwise(1.0).alias("novelty"))
 
 
 def project_2d(points: DataFrame, key: str, vector: str) -> DataFrame:
