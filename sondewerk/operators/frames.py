@@ -6,12 +6,10 @@ import struct
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from sondewerk.functions import kernels, series
 from sondewerk.util import floor_div, lookup_join, numbered, prefix_sums
@@ -24,37 +22,56 @@ FRAME_SAMPLES, WINDOW = 512, 1024
 FRAME = "is_spectrum boolean, node_id bigint, seq bigint, ts_us decimal(20,0), sr_hz bigint, n int, sensor_class smallint, payload array<float>, error string"
 
 
-def decode_one(buf: bytes | None) -> tuple:
-    """Fields of FRAME; a buffer that is no frame has only an error."""
-    bad = lambda e: (None,) * 8 + (e,)
-    if buf is None or len(buf) < HEADER_BYTES:
-        return bad("short")
-    magic, version, _, node, seq, ts, sr, n, cls = struct.unpack_from(HEADER, buf)
-    if version != VERSION:
-        return bad("version")
-    if magic not in (RAW, SPECTRUM):
-        return bad("magic")
-    kind = "<f4" if magic == SPECTRUM else "<i2"
-    if len(buf) - HEADER_BYTES < n * int(kind[-1]):
-        return bad("payload")
-    return magic == SPECTRUM, node, seq, ts, sr, n, cls & 0xFF, np.frombuffer(buf, kind, n, HEADER_BYTES).astype(np.float32).tolist(), None
+_HEAD = np.dtype([("magic", "<u2"), ("version", "u1"), ("flags", "u1"), ("node_id", "<u4"), ("seq", "<u4"), ("ts_us", "<u8"), ("sr_hz", "<u4"), ("n", "<u2"), ("sensor_class", "<u2")])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, start, length) of a binary column; a null has length -1."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(off), -1)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), off[:-1], size
+
+
+def decode_batch(column: pa.Array) -> dict[str, pa.Array]:
+    """Fields of FRAME for a column of binary frames, all rows at once."""
+    data, start, size = _bytes_of(column)
+    m = len(column)
+    long = np.flatnonzero(size >= HEADER_BYTES)
+    head = np.zeros(m, _HEAD)
+    if len(long):
+        head[long] = data[start[long, None] + np.arange(HEADER_BYTES)].reshape(-1).view(_HEAD)
+    n, spectrum = head["n"].astype(np.int64), head["magic"] == SPECTRUM
+    width = np.where(spectrum, 4, 2)
+    error = np.full(m, None, object)
+    for bad, name in ((size - HEADER_BYTES < n * width, "payload"), (~np.isin(head["magic"], (RAW, SPECTRUM)), "magic"), (head["version"] != VERSION, "version"), (size < HEADER_BYTES, "short")):
+        error[bad] = name
+    ok = np.equal(error, None)
+    count = np.where(ok, n, 0)
+    values = np.empty(count.sum(), np.float32)
+    row = np.repeat(np.arange(m), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    for kind, bytes_, mine in (("<i2", 2, ~spectrum[row]), ("<f4", 4, spectrum[row])):
+        at = (start[row] + HEADER_BYTES + bytes_ * place)[mine]
+        values[mine] = data[at[:, None] + np.arange(bytes_)].reshape(-1).view(kind)
+    no = ~ok
+    offsets = pa.array(np.append(0, np.cumsum(count)), pa.int32(), mask=np.append(no, False)) if m else pa.array([0], pa.int32())
+    own = {f: pa.array(head[f].astype(np.int64), pa.int64(), mask=no) for f in ("node_id", "seq", "sr_hz")}
+    return {
+        "is_spectrum": pa.array(spectrum, mask=no), "node_id": own["node_id"], "seq": own["seq"], "ts_us": pa.array(head["ts_us"], pa.uint64(), mask=no).cast(pa.decimal128(20, 0)), "sr_hz": own["sr_hz"],
+        "n": pa.array(n, pa.int32(), mask=no), "sensor_class": pa.array(head["sensor_class"].astype(np.int64) & 0xFF, pa.int16(), mask=no), "payload": pa.ListArray.from_arrays(offsets, pa.array(values)), "error": pa.array(error, pa.string()),
+    }
 
 
 def decode(frames: DataFrame, column: str = "frame", keep: Sequence[str] = ()) -> DataFrame:
-    """The fields of binary frames beside the columns to keep; bad frames have ``error`` and null fields."""
-    names = [f.split()[0] for f in FRAME.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from decimal import Decimal
-
+    """The fields of binary frames beside the columns to keep; bad frames have ``error`` (short, version, magic, payload) and null fields."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [decode_one(x) for x in b[column]]
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            out["ts_us"] = [None if t is None else Decimal(t) for t in out["ts_us"]]
-            yield pd.concat([b[list(keep)].reset_index(drop=True), out], axis=1)
+            fields = decode_batch(b.column(b.num_columns - 1))
+            yield pa.record_batch([*b.columns[:-1], *fields.values()], names=[*b.schema.names[:-1], *fields])
 
-    kept = "".join(f"{frames.schema[c].name} {frames.schema[c].dataType.simpleString()}, " for c in keep)
-    return frames.select(*keep, column).mapInPandas(run, kept + FRAME)
+    kept = "".join(f"`{c}` {frames.schema[c].dataType.simpleString()}, " for c in keep)
+    return frames.select(*keep, column).mapInArrow(run, kept + FRAME)
 
 
 def good(decoded: DataFrame) -> DataFrame:
@@ -76,20 +93,36 @@ def encode(node_id: Column, seq: Column, ts_us: Column, sr_hz: Column, samples:
     return F.concat(head, F.unhex(text))
 
 
+def _crc_table() -> np.ndarray:
+    word = np.arange(256, dtype=np.int64) << 8
+    for _ in range(8):
+        word = np.where(word & 0x8000, word << 1 ^ 0x1021, word << 1) & 0xFFFF
+    return word
+
+
+def crc16_batch(column: pa.Array) -> pa.Array:
+    """CRC-16/CCITT-FALSE of every binary value, byte by byte over all rows at once."""
+    data, start, size = _bytes_of(column)
+    table, crc = _crc_table(), np.full(len(column), 0xFFFF, np.int64)
+    order = np.argsort(-size, kind="stable")
+    for at in range(size.max(initial=0)):
+        rows = order[: np.searchsorted(-size[order], -at)]
+        crc[rows] = (crc[rows] << 8 ^ table[(crc[rows] >> 8 ^ data[start[rows] + at]) & 0xFF]) & 0xFFFF
+    return pa.array(crc, pa.int32(), mask=size < 0)
+
+
 def crc16(data: bytes) -> int:
     """CRC-16/CCITT-FALSE."""
-    crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
-    return crc
-
-
-@F.pandas_udf(IntegerType())
-def crc16_column(data: pd.Series) -> pd.Series:
-    """CRC-16/CCITT-FALSE of binary values."""
-    return data.map(lambda b: None if b is None else crc16(b)).astype("Int32")
+    return crc16_batch(pa.array([data], pa.binary()))[0].as_py()
+
+
+def with_crc(frames: DataFrame, column: str, out: str = "crc") -> DataFrame:
+    """df with the CRC-16/CCITT-FALSE of a binary column; null for null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([*b.columns, crc16_batch(b.column(b.schema.get_field_index(column)))], names=[*b.schema.names, out])
+
+    return frames.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", `{out}` int")
 
 
 def pack_raw(out_size: int, node_id: int, seq: int, ts_us: int, sr_hz: int, samples: Sequence[int]) -> bytes:

@@ -231,8 +231,9 @@ def transfer_rate(domains: DataFrame, name: str, direction: str) -> DataFrame:
     return t.select(pairs.alias("pairs"), "hits", F.try_divide(F.col("hits"), pairs).alias("rate"))
 
 
-def predicted_auc(r: float) -> float:
-    return 2 / math.pi * math.atan(r)
+def predicted_auc(r: float | Column) -> float | Column:
+    """The AUC that a standardised distance predicts; of a number or a column."""
+    return F.atan(r) * (2 / math.pi) if isinstance(r, Column) else 2 / math.pi * math.atan(r)
 
 
 def fan_out(spark, tasks: Sequence[int], run: Callable[[int], float], schema: str = "task bigint, value double") -> DataFrame:

@@ -14,11 +14,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict = QUERIES, oracles: dict = ORACLES):
+    """Decorator: make a function a query, with its SQL."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            oracles[f.__name__] = sql
         return f
 
     return add
@@ -230,19 +232,11 @@ def feature_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
 _U = "(('0x' || substr(md5('0-' || b || '-' || {0}), 1, 8))::bigint / 4294967296.0)"
 
 
-@query(f"""with e as (select emb_id as u, recon_error as v from frame_embeddings where recon_error is not null and isfinite(recon_error) and emb_id % 100 = 0),
+@query(f"""with e as (select emb_id as u, recon_error as v from frame_embeddings where recon_error is not null and isfinite(recon_error)),
 m as (select b, u, v, {_U.format('u')} as x from e, range(1, 101) r(b)),
 w as (select b, v, case when x >= 0.9999988747 then 8 when x >= 0.99998975080 then 8 else 0 end as z, x from m) select count(*) as n, round(avg(x), 9) as mean_draw, round(max(x), 9) as max_draw from w""")
 def hash_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hash's draws, the same in any engine: 100 for every row whose id is divisible by 100."""
-    e = table(spark, sf_dir, "frame_embeddings").filter("recon_error is not null and not isnan(recon_error) and abs(recon_error) < double('Infinity') and emb_id % 100 = 0")
-    m = e.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("x", inference.hash_uniform(0, F.col("b"), F.col("emb_id")))
-    return m.agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean_draw"), F.round(F.max("x"), 9).alias("max_draw"))
-
-
-@query()
-def hash_draws_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 draws for every row; ``hash_draws`` is the hundredth part of them that SQL repeats."""
+    """The hash's draws, the same in any engine: 100 for every row."""
     e = table(spark, sf_dir, "frame_embeddings").filter("recon_error is not null and not isnan(recon_error) and abs(recon_error) < double('Infinity')").select("emb_id")
     m = e.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("x", inference.hash_uniform(0, F.col("b"), F.col("emb_id")))
     return m.agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean_draw"), F.round(F.max("x"), 9).alias("max_draw"))

@@ -8,10 +8,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondewerk.operators.watch import label_from_path
+from sondewerk.util import lookup_join, numbered
 
 #: Share of unreadable rows above which a text recording is refused.
 BAD_ROWS = 0.05
@@ -139,8 +140,8 @@ def read_bank(spark: SparkSession, path: str, label_by: str = "prefix", column:
             yield pd.DataFrame(rows, columns=["path", "label", "rate", "x", "error"]).astype({"rate": "Int32"})
 
     out = files.select("path", label_from_path(F.col("path"), label_by).alias("label"), "content").mapInPandas(run, _BANK)
-    order = files.select("path").withColumn("g", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint"))
-    return out.join(order, "path").select("g", "path", "label", "rate", "x", "error")
+    order = numbered(files.select("path"), [], ["path"], "g")
+    return lookup_join(out, order, ["path"]).select("g", "path", "label", "rate", "x", "error")
 
 
 def read_channels(spark: SparkSession, path: str, columns: dict[str, str] | Sequence[str] | None = None, drop_missing: bool = True) -> DataFrame:
@@ -168,7 +169,7 @@ def read_frames(spark: SparkSession, path: str, stream: bool = False, files_per_
         F.col("label") if "label" in have else F.lit(None).cast("string").alias("label"), F.coalesce(F.col("sensor_class") if "sensor_class" in have else F.lit(None), F.lit(0)).cast("smallint").alias("sensor_class"),
         F.col("sr_hz").cast("bigint").alias("sr_hz"), F.col("ts_us") if "ts_us" in have else F.lit(None).cast("bigint").alias("ts_us"), int16(F.col("samples")).alias("payload"), F.lit(0).cast("bigint").alias("node_id"),
     )
-    return out if stream else out.withColumn("seq", (F.row_number().over(Window.orderBy("ts_us", F.xxhash64("payload"))) - 1).cast("bigint"))
+    return out if stream else numbered(out.withColumn("__h", F.xxhash64("payload")), [], ["ts_us", "__h"], "seq").drop("__h")
 
 
 def int16(binary):

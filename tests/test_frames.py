@@ -30,7 +30,8 @@ def test_checksum_and_edge_features(spark):
     df = spark.createDataFrame([([-4, -2, 0, 2, 4, 2, -2],), ([],), ([-32768, -32768],)], "x array<smallint>")
     got = rows(df.select(*[c.alias(n) for n, c in frames.edge_stats(F.col("x")).items()]))
     assert (7, 0, 2, 4, 2) in got and (0, 0, 0, 0, 0) in got and (2, -32768, 32768, 32768, 0) in got
-    assert spark.createDataFrame([(bytearray(b"123456789"),), (None,)], "b binary").select(frames.crc16_column("b").alias("c")).collect()[0].c == 0x29B1
+    got = frames.with_crc(spark.createDataFrame([(bytearray(b"123456789"),), (None,), (bytearray(b""),), (bytearray(b"A"),)], "b binary").repartition(1), "b").collect()
+    assert {bytes(r.b) if r.b is not None else None: r.crc for r in got} == {b"123456789": 0x29B1, None: None, b"": 0xFFFF, b"A": 0xB915}
 
 
 def test_gaps_wraps_and_late_frames(spark):

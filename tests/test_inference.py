@@ -81,6 +81,6 @@ def test_hash_draws_of_every_row(spark, tmp_path):
     spark.createDataFrame(data, "emb_id bigint, recon_error double").write.parquet(f"{tmp_path}/frame_embeddings.parquet")
     ids = [i for i, v in data if v == 0.5]
     x = [int(md5(f"0-{b}-{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in ids for b in range(1, 101)]
-    got = analytics.hash_draws_all(spark, str(tmp_path)).first()
+    got = analytics.hash_draws(spark, str(tmp_path)).first()
     assert got["n"] == len(x) > 10_000
     assert abs(got["mean_draw"] - sum(x) / len(x)) < 2e-9 and abs(got["max_draw"] - max(x)) < 2e-9

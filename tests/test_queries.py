@@ -7,11 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from sondewerk.plans import analytics, grammar, problems, selection
+from sondewerk.plans import analytics, grammar, problems, roundtrips, selection
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = problems.QUERIES | grammar.QUERIES | analytics.QUERIES | selection.QUERIES
-ORACLES = problems.ORACLES | grammar.ORACLES | analytics.ORACLES | selection.ORACLES
+QUERIES = problems.QUERIES | grammar.QUERIES | analytics.QUERIES | selection.QUERIES | roundtrips.QUERIES
+ORACLES = problems.ORACLES | grammar.ORACLES | analytics.ORACLES | selection.ORACLES | roundtrips.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
