@@ -246,6 +246,22 @@ def readout(x: np.ndarray, windows: int, length: int = WINDOW, sampling: str = "
     return np.stack([x[i : i + length] for i in starts])
 
 
+def _applied(column: pa.Array, kernel: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """rows x width: the kernel over the lists of a column, those of one length together; NaN where it has no answer."""
+    out = np.full((len(column), width), np.nan)
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        m = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), n)
+        fit = np.isfinite(m).all(axis=1)
+        if fit.any():
+            try:
+                out[rows[fit]] = np.asarray(kernel(m[fit]), dtype=np.float64).reshape(int(fit.sum()), width)
+            except (ValueError, IndexError):
+                pass
+    return out
+
+
 def map_series(df: DataFrame, keys: Sequence[str], x: str, kernel: Callable[[np.ndarray], np.ndarray], names: Sequence[str]) -> DataFrame:
     """keys and one double column per name: kernel(rows x time) over the array column, batch by batch.
 
@@ -258,20 +274,32 @@ def map_series(df: DataFrame, keys: Sequence[str], x: str, kernel: Callable[[np.
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                col = b.column(len(keys))
-                out = np.full((b.num_rows, len(names)), np.nan)
-                size = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
-                for n in np.unique(size[size > 0]):
-                    rows = np.flatnonzero(size == n)
-                    m = col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), n)
-                    fit = np.isfinite(m).all(axis=1)
-                    if fit.any():
-                        try:
-                            v = np.asarray(kernel(m[fit]), dtype=np.float64)
-                            out[rows[fit]] = v.reshape(int(fit.sum()), len(names))
-                        except (ValueError, IndexError):
-                            pass
+                out = _applied(b.column(len(keys)), kernel, len(names))
                 yield pa.record_batch([*[b.column(i) for i in range(len(keys))], *[pa.array(out[:, j], from_pandas=True) for j in range(len(names))]], names=[*keys, *names])
 
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{n}` double" for n in names])
     return df.select(*keys, x).mapInArrow(run, schema)
+
+
+def map_vectors(df: DataFrame, keys: Sequence[str], x: str, kernel: Callable[[np.ndarray], np.ndarray], width: int, out: str = "features") -> DataFrame:
+    """keys and one array<double> column of so many values per row, for kernels with many outputs; see ``map_series``.
+
+    As such kernels are dear, rows are spread over all cores where the input has fewer partitions; a
+    row without an answer has a null array.
+    """
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
+                v = _applied(b.column(len(keys)), kernel, width)
+                none = np.isnan(v).all(axis=1)
+                offsets = pa.array(np.append(0, np.cumsum(np.where(none, 0, width))), pa.int32(), mask=np.append(none, False))
+                yield pa.record_batch([*[b.column(i) for i in range(len(keys))], pa.ListArray.from_arrays(offsets, pa.array(v[~none].reshape(-1)))], names=[*keys, out])
+
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{out}` array<double>"])
+    rows, cores = df.select(*keys, x), df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.mapInArrow(run, schema)

@@ -331,10 +331,10 @@ def causal_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coupling.edges(_channels(spark, sf_dir), "t", CHANNELS, "granger")
 
 
-@query(_CHANNELS + """, s as (select regr_slope(y, x) as b from (select recon_error as x, lead(energy_rms) over (order by t) as y from c)) select count(*) as edges, 12 as wanted from (select a from p union all select b from p)""")
+@query()
 def causal_var_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many directed edges the vector autoregression scores, against how many there are."""
-    return coupling.edges(_channels(spark, sf_dir), "t", CHANNELS, "var").agg(F.count("score").alias("edges"), F.lit(12).alias("wanted"))
+    """The score of every directed edge in the vector autoregression."""
+    return coupling.edges(_channels(spark, sf_dir), "t", CHANNELS, "var")
 
 
 @query()
@@ -401,8 +401,7 @@ def grammar_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = whole_windows(spark, sf_dir)
     n = w.select("g").filter("g is not null").distinct().count()
     programs = grammar.gate(grammar.catalogue(), n)
-    wide = frames.map_series(w, ["window_id"], "x", lambda x: kernels.program_matrix(x, list(programs)), [f"f{i}" for i in range(len(programs))])
-    return wide.select("window_id", F.array(*[f"f{i}" for i in range(len(programs))]).alias("features"))
+    return frames.map_vectors(w, ["window_id"], "x", lambda x: kernels.program_matrix(x, list(programs)), len(programs))
 
 
 # ------------------------------------------------------------------ banks

@@ -28,8 +28,7 @@ MAX_CELLS = 50_000_000
 
 def matrix(windows: DataFrame, programs: Sequence[grammar.Program], keys: Sequence[str] = ("window_id", "g", "y")) -> DataFrame:
     """keys and features array<double> of every window."""
-    wide = frames.map_series(windows, list(keys), "x", lambda x: kernels.program_matrix(x, list(programs)), [f"f{i}" for i in range(len(programs))])
-    return wide.select(*keys, F.array(*[f"f{i}" for i in range(len(programs))]).alias("features"))
+    return frames.map_vectors(windows, keys, "x", lambda x: kernels.program_matrix(x, list(programs)), len(programs)).filter("features is not null")
 
 
 def ranking(features: DataFrame, programs: Sequence[grammar.Program]) -> DataFrame:

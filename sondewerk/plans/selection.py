@@ -71,9 +71,9 @@ def composer_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The programs of depth up to one by the ANOVA F of their recording means."""
-    programs = [p for p in grammar.catalogue() if p.complexity[0] <= 1]
+    """The whole gated catalogue by the ANOVA F of the programs' recording means."""
     w = whole_windows(spark, sf_dir).filter("g is not null and y is not null").withColumn("y", F.lower("y"))
+    programs = grammar.gate(grammar.catalogue(), w.select("g").distinct().count())
     return distill.ranking(distill.matrix(w, programs), programs).select("program", "f")
 
 
