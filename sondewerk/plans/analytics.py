@@ -242,12 +242,6 @@ def hash_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean_draw"), F.round(F.max("x"), 9).alias("max_draw"))
 
 
-@query()
-def score_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap interval of the mean recording score per label."""
-    return inference.bootstrap_mean(_units(spark, sf_dir), "g", "score", 200, keys=["y"])
-
-
 @query(_UNITS + f""", k as (select g, score as v, (y = 'anomaly')::int as y from r), o as (select sum(y * v) / sum(y) - sum((1 - y) * v) / sum(1 - y) as s, sum(y) as n from k),
 m as (select b, g, v, {_U.format('g')} as u from k, range(1, 201) t(b)), q as (select b, v, (row_number() over (partition by b order by u, g) <= n)::int as y, s from m, o),
 d as (select b, sum(y * v) / sum(y) - sum((1 - y) * v) / sum(1 - y) as t, any_value(s) as s from q group by 1)
@@ -371,11 +365,6 @@ def _premium(kernel, names):
 
 QUERIES |= {
     "window_rqa": _premium(kernels.rqa, kernels.RQA_NAMES),
-    "window_envelope": _premium(kernels.envelope_bands, [f"env_band{i}" for i in range(5)]),
-    "window_lean": _premium(kernels.lean_baseline, ["permutation_entropy", "psd_slope"]),
-    "window_descriptors": _premium(kernels.welch_descriptors, ["centroid", "entropy", "upper"]),
-    "window_wavelet": _premium(lambda x: kernels.wavelet_energies(x, 3), ["d1", "d2", "d3", "a3"]),
-    "window_slowing": _premium(kernels.slowing, ["ar1", "log_var"]),
     "window_moments": _premium(lambda x: __import__("numpy").stack([kernels.kurtosis(x), kernels.skewness(x)], axis=1), ["kurtosis", "skewness"]),
 }
 ORACLES["window_moments"] = BASE + ", z as (select window_id, v - avg(v) over (partition by window_id) as v from s) select window_id, avg(v ** 4) / (avg(v * v) ** 2 + 1e-12) as kurtosis, avg(v ** 3) / (avg(v * v) ** 1.5 + 1e-12) as skewness from z group by 1"

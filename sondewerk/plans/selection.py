@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondewerk.functions import composer, grammar, kernels
+from sondewerk.functions import composer, grammar
 from sondewerk.operators import detector, frames, picks, watch
 from sondewerk.plans import distill
 from sondewerk.plans.grammar import BASE, whole_windows
@@ -64,10 +63,10 @@ def composer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("window_id", *[F.round(s, 6).alias(s) for s in composer.STATS])
 
 
-def composer_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deviation of every view at every scale."""
-    exprs = [composer.Measure(v, 0, s, "std") for v in composer.VIEWS for s in composer.SCALES]
-    return frames.map_series(whole_windows(spark, sf_dir), ["window_id"], "x", lambda x: composer.table(x, exprs), [f"{v}_{s}" for v in composer.VIEWS for s in composer.SCALES])
+def composer_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation of the phase at every scale (the other views have SQL, in the queries of the windows)."""
+    exprs = [composer.Measure("phase", 0, s, "std") for s in composer.SCALES]
+    return frames.map_series(whole_windows(spark, sf_dir), ["window_id"], "x", lambda x: composer.table(x, exprs), list(composer.SCALES))
 
 
 def distill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +81,6 @@ def catalogue_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, p.name, p.pool, *p.complexity[:3]) for i, p in enumerate(grammar.catalogue())], "place int, program string, pool string, depth int, pool_cost int, transform_cost int").groupBy("depth", "pool_cost").agg(F.count("*").alias("programs"))
 
 
-def profile_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality metrics of every window."""
-    return frames.map_series(whole_windows(spark, sf_dir), ["window_id"], "x", kernels.profile_metrics, ["concentration", "noise", "drift", "impulsiveness"])
-
-
 def reconstruction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of every whole window under the leading directions of the healthy fit windows."""
     w = whole_windows(spark, sf_dir).filter(F.size("x") == 64)
@@ -98,7 +92,7 @@ def simulated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulator.frames(spark, 256).groupBy("sensor_class").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (finite_runs, first_finite_run, even_picks, life_stages, relative_energy, error_terciles, episode_points, energy_peaks, window_duplicates, composer_statistics, composer_views, distill_ranking, catalogue_programs, profile_metrics, reconstruction_errors, simulated_frames)}
+QUERIES = {f.__name__: f for f in (finite_runs, first_finite_run, even_picks, life_stages, relative_energy, error_terciles, episode_points, energy_peaks, window_duplicates, composer_statistics, composer_phase, distill_ranking, catalogue_programs, reconstruction_errors, simulated_frames)}
 _PLACED = "with p as (select window_id, g, row_number() over (partition by g order by window_id) - 1 as i, count(*) over (partition by g) as n from bank_windows where g is not null)"
 ORACLES = {
     "finite_runs": _RUNS + " select node_id, start, length from f where length >= 4",
