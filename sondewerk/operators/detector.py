@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondewerk.operators import inference
+from sondewerk.util import exact_quantile, lookup_join
 
 MAD_SCALE = 1.4826
 ENVELOPE, THRESHOLD = 3.0, 4.0
@@ -19,13 +20,15 @@ MAX_UNITS = 200_000
 
 
 def robust_baseline(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """feature, med, mad (scaled), n over long or wide rows: exact medians of few columns of a fit set, two passes.
+    """feature, med, mad (scaled), n over long or wide rows: exact medians by distinct values, two passes.
 
     Nulls and NaN are left out; one row per feature.
     """
     long = df.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("feature", "v")).filter("v is not null and not isnan(v)")
-    med = long.groupBy("feature").agg(F.percentile("v", F.lit(0.5)).alias("med"), F.count("*").alias("n"))
-    return long.join(F.broadcast(med), "feature").groupBy("feature").agg(F.first("med").alias("med"), (F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)) * MAD_SCALE).alias("mad"), F.first("n").alias("n"))
+    med = exact_quantile(long, ["feature"], "v", 0.5, "med").join(long.groupBy("feature").agg(F.count("*").alias("n")), "feature")
+    far = lookup_join(long, med, ["feature"]).withColumn("far", F.abs(F.col("v") - F.col("med")))
+    mad = exact_quantile(far, ["feature"], "far", 0.5, "mad")
+    return med.join(mad, "feature").select("feature", "med", (F.col("mad") * MAD_SCALE).alias("mad"), "n")
 
 
 @dataclass
@@ -50,8 +53,8 @@ class RobustDetector:
         flat = [a <= b for a, b in zip(mad, floor)]
         det = cls(list(features), med, [b if f else a for a, b, f in zip(mad, floor, flat)], THRESHOLD, flat)
         if threshold is None:
-            q = healthy.agg(F.percentile(det.score(), F.lit(0.99)).alias("q")).first()["q"]
-            threshold = max((q or 0.0) * envelope, 1e-6)
+            q = exact_quantile(healthy.withColumn("__all", F.lit(0)), ["__all"], det.score(), 0.99, "q").first()
+            threshold = max((q["q"] if q and q["q"] else 0.0) * envelope, 1e-6)
         det.threshold = float(threshold)
         return det
 
@@ -193,10 +196,18 @@ class Reconstruction:
         return z, (rest * rest).mean(axis=1)
 
 
-def checkup(units: DataFrame, score: str, positive: str) -> DataFrame:
-    """One row: AUC over recordings and whether scores separate (>= 0.5 aligned, below inverted)."""
-    a = inference.auc(units, score, positive)
-    return a.withColumn("verdict", F.when(F.col("auc").isNull(), "undetermined").when(F.col("auc") >= 0.5, "aligned").otherwise("inverted"))
+def checkup(units: DataFrame, score: str, positive: str, unit: str | None = None, threshold: float | None = None, draws: int = 200) -> DataFrame:
+    """One row: AUC over recordings and whether scores separate (>= 0.5 aligned, below inverted).
+
+    With unit the 95 % bootstrap interval over units stands beside it (ci_lo, ci_hi), with threshold the
+    share of either class that the alarm hits (hit_rate, false_rate).
+    """
+    out = inference.auc(units, score, positive)
+    out = out.withColumn("verdict", F.when(F.col("auc").isNull(), "undetermined").when(F.col("auc") >= 0.5, "aligned").otherwise("inverted"))
+    for more in (inference.bootstrap_auc(units, unit, score, positive, draws) if unit else None, inference.alarm_gap(units, score, positive, threshold).drop("gap") if threshold is not None else None):
+        if more is not None:  # one row each
+            out = out.withColumn("__one", F.lit(1)).join(more.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return out
 
 
 def guess_healthy(labels: Sequence[str]) -> str | None:

@@ -69,26 +69,37 @@ def hash_uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def _drawn(df: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
+    """df once per draw (__b), with the Poisson(1) weight (__w) that the hash gives the unit in it."""
+    u = hash_uniform(seed, F.col("__b"), F.col(unit))
+    steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    weight = sum(((u >= x).cast("int") for x in steps), F.lit(0))
+    return df.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", weight)
+
+
 def bootstrap_mean(df: DataFrame, unit: str, value: str, draws: int = 1000, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """keys, mean, lo, hi: 95 % percentile bootstrap of the mean over units.
 
     Every unit gets a Poisson(1) weight per draw from the hash, so a draw needs no second pass over
     the data and partial sums combine map-side; draws are rows, not driver loops.
     """
-    u = hash_uniform(seed, F.col("__b"), F.col(unit))
-    weight = F.lit(0)
-    upto, p = 0.0, math.exp(-1)
-    for k in range(9):
-        upto += p
-        weight = F.when(u >= upto, k + 1).otherwise(weight) if k else F.when(u >= upto, 1).otherwise(0)
-        p /= k + 1
-    many = df.select(*keys, unit, F.col(value).alias("__v")).filter("__v is not null").withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", weight)
+    many = _drawn(df.select(*keys, unit, F.col(value).alias("__v")).filter("__v is not null"), unit, draws, seed)
     means = many.groupBy(*keys, "__b").agg(F.try_divide(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("__m"))
     ends = means.groupBy(*keys).agg(F.percentile("__m", F.lit(0.025)).alias("lo"), F.percentile("__m", F.lit(0.975)).alias("hi"))
     point = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean"))
     return point.join(ends, list(keys)) if keys else point.crossJoin(F.broadcast(ends))
 
 
+def bootstrap_auc(df: DataFrame, unit: str, score: str, positive: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """One row (ci_lo, ci_hi): 95 % percentile bootstrap of the AUC over units, weighted as in ``bootstrap_mean``; draws that lose a class are left out."""
+    base = df.select(unit, F.col(score).cast("double").alias("__s"), F.col(positive).cast("int").alias("__y")).filter("__s is not null and not isnan(__s) and __y is not null")
+    c = _drawn(base, unit, draws, seed).groupBy("__b", "__s").agg(F.sum(F.col("__w") * F.col("__y")).alias("__p"), F.sum(F.col("__w") * (1 - F.col("__y"))).alias("__n"))
+    runs = prefix_sums(c, ["__b"], ["__s"], {"__upto": F.col("__n")})
+    per = runs.groupBy("__b").agg((F.sum(F.col("__p") * (F.col("__upto") - F.col("__n") / 2))).alias("w"), F.sum("__p").alias("p"), F.sum("__n").alias("n"))
+    a = per.select(F.try_divide(F.col("w"), F.col("p") * F.col("n")).alias("a"))
+    return a.agg(F.percentile("a", F.lit(0.025)).alias("ci_lo"), F.percentile("a", F.lit(0.975)).alias("ci_hi"))
+
+
 def paired(a: DataFrame, b: DataFrame, unit: str, value: str) -> DataFrame:
     """unit, difference: value of a minus that of b for the units both have."""
     return a.select(unit, F.col(value).alias("__a")).join(b.select(unit, F.col(value).alias("__b")), unit).select(unit, (F.col("__a") - F.col("__b")).alias("difference"))

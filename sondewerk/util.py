@@ -172,3 +172,19 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """df with the place of each row (from 0) per keys in a total order; see ``prefix_sums``."""
     return prefix_sums(df, keys, order, {out: F.lit(1).cast("bigint")}).withColumn(out, F.col(out) - 1)
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str | Column, p: float, out: str) -> DataFrame:
+    """keys, out: the exact quantile of a numeric column per key, interpolated between the ranks around; nulls and NaN are left out.
+
+    Equal values are counted map-side; the distinct ones are range-sorted, so no task holds a key.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    rows = df.select(*keys, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    runs = prefix_sums(rows.groupBy(*keys, "__v").count(), keys, ["__v"], {"__upto": F.col("count")})
+    n = runs.groupBy(*keys).agg(F.max("__upto").alias("__n"))
+    both = lookup_join(runs, n, keys).withColumn("__at", (F.col("__n") - 1) * F.lit(float(p)))
+    low = F.floor("__at")
+    here = lambda rank: F.max(F.when((rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("count")), F.col("__v")))
+    ends = both.groupBy(*keys).agg(here(low).alias("__a"), here(F.least(low + 1, F.col("__n") - 1)).alias("__b"), F.max(F.col("__at") - low).alias("__f"))
+    return ends.select(*keys, F.when(F.col("__f") > 0, F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))).otherwise(F.col("__a")).alias(out))
