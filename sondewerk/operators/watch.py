@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondewerk.util import materialize, numbered
+
 
 def digest(x: Column) -> Column:
     """sha256 of a numeric array's text, nulls in place; equal arrays have equal digests."""
@@ -69,6 +71,7 @@ def crossings(polls: DataFrame) -> DataFrame:
 
 def densest_span(events: DataFrame, time: str, n: int) -> DataFrame:
     """The shortest span that holds n events: its start and length (one row, or none)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(time)
-    s = events.select(F.col(time).alias("start"), (F.lead(time, n - 1).over(w) - F.col(time)).alias("span")).filter("span is not null")
+    placed = materialize(numbered(events.select(F.col(time).alias("start"), F.monotonically_increasing_id().alias("__row")), [], ["start", "__row"], "i")).select("start", "i")
+    ends = placed.select(F.col("start").alias("end"), (F.col("i") - (n - 1)).alias("i"))
+    s = placed.join(ends, "i").select("start", (F.col("end") - F.col("start")).alias("span"))
     return s.orderBy("span", "start").limit(1)

@@ -7,11 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from sondewerk.plans import analytics, detect, grammar, problems, roundtrips, selection, windows
+from sondewerk.plans import analytics, detect, edges, grammar, problems, roundtrips, selection, windows
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = problems.QUERIES | grammar.QUERIES | analytics.QUERIES | selection.QUERIES | roundtrips.QUERIES | windows.QUERIES | detect.QUERIES
-ORACLES = problems.ORACLES | grammar.ORACLES | analytics.ORACLES | selection.ORACLES | roundtrips.ORACLES | windows.ORACLES | detect.ORACLES
+QUERIES = problems.QUERIES | grammar.QUERIES | analytics.QUERIES | selection.QUERIES | roundtrips.QUERIES | windows.QUERIES | detect.QUERIES | edges.QUERIES
+ORACLES = problems.ORACLES | grammar.ORACLES | analytics.ORACLES | selection.ORACLES | roundtrips.ORACLES | windows.ORACLES | detect.ORACLES | edges.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
