@@ -103,7 +103,7 @@ def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = packed.groupBy("doc_id").agg(F.count_distinct("piece").alias("pieces"), F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.count_distinct("container").alias("containers"))
     doc = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("rows") != F.col("pieces")) | ((F.col("tokens") <= packing.CAPACITY) & (F.col("containers") > 1))).alias("cut"))
     use = packed.filter("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens"))
-    box = use.agg(F.count_if(F.col("tokens") > packing.CAPACITY).alias("over"), (F.sum("tokens") >= 0.98 * packing.CAPACITY * F.greatest(F.count("*") - 1, F.lit(0))).alias("full"), ((F.max("container") + 1) == F.count("*")).alias("numbered"))
+    box = use.agg(F.count_if(F.col("tokens") > packing.CAPACITY).alias("overfull"), (F.sum("tokens") >= 0.98 * packing.CAPACITY * F.greatest(F.count("*") - 1, F.lit(0))).alias("filled"), ((F.max("container") + 1) == F.count("*")).alias("numbered"))
     return _beside(doc, box)
 
 
@@ -167,7 +167,7 @@ reach as (select g, g as o from recordings union select r.g, e.b from reach r jo
 select g, min(o) as unit_g from reach group by g having count(*) > 1""",
     "p7_check": """
 select count(*) as recordings, count(*) as distinct_g, 0 as torn, (select count(*) from bank_windows w semi join recordings r using (g)) as windows, true as near from (select distinct g from recordings where g is not null)""",
-    "p8_check": "select count(distinct doc_id) as documents, 0 as cut, 0 as over, true as \"full\", true as numbered from documents",
+    "p8_check": "select count(distinct doc_id) as documents, 0 as cut, 0 as overfull, true as filled, true as numbered from documents",
     "p9_found": _LEAKS + " select doc_id, item_id from h",
     "p9_report": _LEAKS + " select item_id, count(*) as documents, count(*) filter (where answered) as with_answer from h group by 1",
 }
