@@ -53,11 +53,11 @@ def te_root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("variable", F.round("score", 5).alias("score"))
 
 
-@checked(_BOTH + ' select cause, effect, round(baseline - now, 5) + 0.0 as "drop" from d')
+@checked(_BOTH + ' select cause, effect, round(baseline - now, 5) + 0.0 as loss from d')
 def te_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By how much each edge weakens."""
     d = coupling.diagnose(_edges_of(spark, sf_dir, True), _edges_of(spark, sf_dir, False))
-    return d.select("cause", "effect", (F.round("drop", 5) + 0.0).alias("drop"))
+    return d.select("cause", "effect", (F.round("drop", 5) + 0.0).alias("loss"))
 
 
 _HALVES = BASE + ", w64 as (select window_id from s group by 1 having count(*) = 64), h as (select a.window_id, a.i, a.v as a, b.v as b from s a join s b on b.window_id = a.window_id and b.i = a.i + 32 semi join w64 on w64.window_id = a.window_id where a.i < 32)"
