@@ -43,6 +43,7 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _read_back(df: DataFrame, kind: str) -> DataFrame:
     """delivery_id, n, total, rate of payloads written as files of a kind and read by its reader, in batches."""
+    wav, recording, npz_bank, text_column, channels_of = readers.wav, readers.recording, readers.npz_bank, readers.text_column, readers.channels_of
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -52,21 +53,21 @@ def _read_back(df: DataFrame, kind: str) -> DataFrame:
                 if kind == "wav":
                     data = np.asarray(x, "<i2").tobytes()
                     content = b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
-                    got_rate, v = readers.wav(content)
+                    got_rate, v = wav(content)
                 elif kind == "npy":
                     f = io.BytesIO()
                     np.save(f, np.asarray(x))
-                    v = readers.recording(f.getvalue(), "npy")
+                    v = recording(f.getvalue(), "npy")
                 elif kind == "npz":
                     f = io.BytesIO()
                     np.savez(f, X=np.asarray(x)[:, None], y=np.zeros(len(x)), groups=np.arange(len(x)))
-                    v = readers.npz_bank(f.getvalue())[0][:, 0]
+                    v = npz_bank(f.getvalue())[0][:, 0]
                 elif kind == "csv":
-                    v = readers.text_column(("value;other\r\n" + "".join(f"{s};x\r\n" for s in x)).encode("utf-8-sig"))
+                    v = text_column(("value;other\r\n" + "".join(f"{s};x\r\n" for s in x)).encode("utf-8-sig"))
                 else:
                     f = io.BytesIO()
                     np.save(f, np.stack([np.asarray(x), -np.asarray(x, int)]))
-                    v = readers.channels_of(f.getvalue(), "npy", 0)[1][1] * -1
+                    v = channels_of(f.getvalue(), "npy", 0)[1][1] * -1
                 out.append((i, len(v), float(v.sum()), int(got_rate)))
             yield pd.DataFrame(out, columns=["delivery_id", "n", "total", "rate"])
 

@@ -17,7 +17,8 @@ BROADCAST_ROWS = 50_000
 #: At most this many hot keys are cut when a join is salted; any other key holds under this part of all rows.
 HOT_KEYS = 20_000
 
-_written: list[tuple[SparkSession, str]] = []
+#: Paths only: modules travel to executors by value, sessions cannot.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +37,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sondewerk-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sondewerk_path = path
     return out
@@ -56,7 +57,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    spark = SparkSession.getActiveSession()
+    for path in _written if spark else ():
         try:
             _delete(spark, path)
         except Exception:  # the session is gone
