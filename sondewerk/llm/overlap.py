@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sondewerk.util import materialize, skew_join
@@ -17,6 +17,8 @@ SEED = 20_240_607
 #: Windows of a side in a block of the scan of windows with gaps; of them so many at a time against the other block.
 SCAN_BLOCK, SCAN_ROWS = 4_096, 128
 TRAIN, HELD = ("fit",), ("eval", "replication")
+#: Windows of the sample (picked by hash, about so many at most) from which large buckets are told, hits that tell one, and rows that make one large.
+SAMPLE, SEEN, HOT_ROWS = 8_192, 8, 20_000
 
 
 def _plan(length: int, shingles: int, hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,20 +59,25 @@ def minwise(x: np.ndarray, contrasts: np.ndarray, orders: np.ndarray) -> np.ndar
     return out
 
 
+def band_keys(x: np.ndarray, seed: int, rows: int, bands: int, shingles: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows that have shingles, their keys x bands): equal keys of two windows are equal rows of one band."""
+    contrasts, orders = _plan(x.shape[1], shingles, rows * bands, seed)
+    mix = np.random.default_rng(seed + 1).integers(1, 2**62, (bands, rows), dtype=np.int64) | 1
+    sig = minwise(x, contrasts, orders).reshape(len(x), bands, rows)
+    with np.errstate(over="ignore"):
+        key = ((sig.astype(np.int64) + 1) * mix).sum(axis=2)
+        key ^= (key >> 29) * np.int64(-7046029254386353131)
+    ok = np.flatnonzero(sig[:, 0, 0] >= 0)
+    return ok, key[ok]
+
+
 def _signatures(length: int, seed: int, rows: int, bands: int, shingles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contrasts, orders = _plan(length, shingles, rows * bands, seed)
-        mix = np.random.default_rng(seed + 1).integers(1, 2**62, rows, dtype=np.int64) | 1
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                x = matrix(b.column(2), length)
-                sig = minwise(x, contrasts, orders).reshape(len(x), bands, rows)
-                with np.errstate(over="ignore"):
-                    key = ((sig.astype(np.int64) + 1) * mix).sum(axis=2)
-                    key ^= (key >> 29) * np.int64(-7046029254386353131)
-                ok = np.flatnonzero(sig[:, 0, 0] >= 0)
-                yield pa.record_batch([b.column(0).take(pa.array(np.repeat(ok, bands))), b.column(1).take(pa.array(np.repeat(ok, bands))), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ok))), pa.array(key[ok].reshape(-1))], names=["rep", "held", "band", "key"])
+            for i in range(0, whole.num_rows, 4096):
+                b = whole.slice(i, 4096)
+                ok, key = band_keys(matrix(b.column(1), length), seed, rows, bands, shingles)
+                yield pa.record_batch([b.column(0).take(pa.array(np.repeat(ok, bands))), pa.array(key.reshape(-1))], names=["rep", "key"])
 
     return run
 
@@ -180,10 +187,16 @@ def overlaps(windows: DataFrame, window_id: str = "window_id", split: str = "spl
     members = skew_join(keyed.select("window_id", "held", "h1", "h2"), reps, ["held", "h1", "h2"]).select("window_id", "held", "rep")
     data = materialize(base.join(reps.select("held", F.col("rep").alias("window_id")), ["held", "window_id"], "left_semi").select(F.col("window_id").alias("rep"), "held", "x", F.exists("x", lambda v: v.isNull() | (F.abs(v) == float("inf"))).alias("gap")).dropDuplicates(["rep", "held"]))
     whole = data.filter("not gap")
-    sig = materialize(whole.select("rep", "held", "x").mapInArrow(_signatures(length, seed, rows, bands, shingles), "rep bigint, held boolean, band int, key bigint"))
-    train = sig.filter("not held").select("band", "key", F.col("rep").alias("rep_train"))
-    held = sig.filter("held").select("band", "key", F.col("rep").alias("rep_held"))
-    candidates = skew_join(train, held, ["band", "key"]).select("rep_train", "rep_held").distinct()
+    side_keys = lambda which, out: whole.filter(which).select("rep", "x").mapInArrow(_signatures(length, seed, rows, bands, shingles), "rep bigint, key bigint").withColumnRenamed("rep", out)
+    # large buckets are told from a sample: they decide on blocks, not on results
+    n = whole.filter("not held").count()
+    part = -(-n // SAMPLE) or 1
+    sample = whole.filter("not held").filter(F.pmod(F.xxhash64("rep"), F.lit(part)) == 0).select("x").toPandas()["x"]
+    hot = []
+    if n > HOT_ROWS and len(sample):
+        buckets, seen = np.unique(band_keys(np.stack(sample.to_numpy()).astype(np.float64), seed, rows, bands, shingles)[1], return_counts=True)
+        hot = [Row(key=int(b), count=int(c) * part) for b, c in zip(buckets, seen) if c >= SEEN and c * part > HOT_ROWS]
+    candidates = skew_join(side_keys("not held", "rep_train"), side_keys("held", "rep_held"), ["key"], min_rows=HOT_ROWS, hot=hot).select("rep_train", "rep_held").repartition("rep_train").distinct()
     both = candidates.join(whole.filter("not held").select(F.col("rep").alias("rep_train"), F.col("x").alias("x_train")), "rep_train").join(whole.filter("held").select(F.col("rep").alias("rep_held"), F.col("x").alias("x_held")), "rep_held")
     pairs = both.select("rep_train", "rep_held", "x_train", "x_held").mapInArrow(_correlation(length, least), "rep_train bigint, rep_held bigint, correlation double")
     gaps = _gap_pairs(data, length, least)

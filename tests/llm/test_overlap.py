@@ -73,17 +73,19 @@ def test_minwise_similarity_follows_the_correlation():
 
 
 def test_hot_buckets_are_cut_without_loss(spark, monkeypatch):
-    from functools import partial
-
     rng = np.random.default_rng(5)
     base = rng.standard_normal(64)
     # a third of the windows lie close together, but are no copies
     data = [(i, "b", "fit" if i % 2 else "eval", ((base if i % 3 == 0 else rng.standard_normal(64)) + 0.05 * rng.standard_normal(64)).tolist()) for i in range(240)]
     df = table(spark, data)
     plain = rows(overlap.overlap_pairs(df).select("window_train", "window_held"))
-    monkeypatch.setattr(overlap, "skew_join", partial(overlap.skew_join, min_rows=7))
+    cut = []
+    join = overlap.skew_join
+    monkeypatch.setattr(overlap, "skew_join", lambda *a, **k: cut.extend(k.get("hot") or []) or join(*a, **k))
+    monkeypatch.setattr(overlap, "HOT_ROWS", 7)
+    monkeypatch.setattr(overlap, "SEEN", 2)
     assert rows(overlap.overlap_pairs(df).select("window_train", "window_held")) == plain
-    assert set(plain) == brute(data) and len(plain) == 40 * 40
+    assert set(plain) == brute(data) and len(plain) == 40 * 40 and cut
 
 
 def test_windows_with_gaps_are_all_compared(spark, monkeypatch):
